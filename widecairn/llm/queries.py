@@ -21,6 +21,25 @@ def tokenizer_bytes(name: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mixture by the square root of its source's size."""
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), keep=False).select("doc_id", "source", "_mix.*")
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edited_pairs
+
+    return edited_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"), with_output=False)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_bpe import encode_decode
 
@@ -28,7 +47,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sentencepiece": op10_sentencepiece}
+    return {
+        "op1_mixing": op1_mixing,
+        "op5_fingerprint": op5_fingerprint,
+        "op8_pii": op8_pii,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
