@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most slots of a period (the sum of integer weights), most sources, and rows of a bucket, about.
-PERIOD, SOURCES, BUCKET_ROWS = 100_000, 10_000, 2_000
+#: The table of slots that tasks get has at most PERIOD * SOURCES four-byte numbers: 16 MB.
+PERIOD, SOURCES, BUCKET_ROWS = 4_000, 1_000, 2_000
 BLOCK_ROWS = 8
 
 
@@ -98,8 +99,8 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
     place in the block is distinct for every row and has gaps after a source's last block.
     """
     spark = df.sparkSession
-    tagged = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_s"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if keep else []))
-    counts = {r._s: r.n for r in tagged.groupBy("_s").agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()}
+    tagged = df.select(F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_s"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if keep else []))
+    counts = {(r._s[1:] if r._s else None): r.n for r in tagged.groupBy("_s").agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()}
     if len(counts) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     names = sorted(counts, key=lambda s: (s is not None, s or ""))
@@ -116,7 +117,7 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
     by = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # One row per source and bucket; the running sum of one source stays small: rows / BUCKET_ROWS.
     before = tagged.groupBy("_s", "_b").agg(F.count("*").alias("n")).select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_before"))
-    numbered = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id"))).join(before, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2"))).withColumn("_k", F.col("_before") + F.col("_n") - 1)
+    numbered = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id"))).join(before, (F.col("_s") == F.col("_s2")) & (F.col("_b") == F.col("_b2"))).withColumn("_k", F.col("_before") + F.col("_n") - 1)
 
     # A block's slot: one row per source and phase, and one per slot of a phase's period.
     steps, cells = [], []
@@ -124,13 +125,13 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
         for s, w in enumerate(x["weights"]):
             if w:
                 later = [y["had"][s] for y in plan[p + 1 :] if y["weights"][s]]
-                steps.append((names[s], x["had"][s], later[0] if later else 1 << 62, p, x["start"], x["total"], w, x["slots"][s]))
+                steps.append(("" if names[s] is None else f"={names[s]}", x["had"][s], later[0] if later else 1 << 62, p, x["start"], x["total"], w, x["slots"][s]))
     table = spark.createDataFrame(steps, "_s3 string, lo long, hi long, phase int, start long, total long, w long, slots array<int>")
     block = F.floor(F.col("_k") / block_rows).cast("long")
     i = F.col("_i")
     placed = (
         numbered.withColumn("_block", block)
-        .join(F.broadcast(table), F.col("_s").eqNullSafe(F.col("_s3")) & (F.col("_block") >= F.col("lo")) & (F.col("_block") < F.col("hi")))
+        .join(F.broadcast(table), (F.col("_s") == F.col("_s3")) & (F.col("_block") >= F.col("lo")) & (F.col("_block") < F.col("hi")))
         .withColumn("_i", F.col("_block") - F.col("lo"))
     )
     slot = F.col("start") + F.expr("_i div w") * F.col("total") + F.element_at("slots", (F.expr("_i % w") + 1).cast("int"))
@@ -142,7 +143,7 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
         slot.alias("slot"),
         (slot * block_rows + F.col("_k") % block_rows).alias("position"),
     ).alias("_mix")
-    columns = [F.col("_row")[c].alias(c) for c in df.columns] if keep else [F.col("_id").alias(id_col), F.col("_s").alias(source_col)]
+    columns = [F.col("_row")[c].alias(c) for c in df.columns] if keep else [F.col("_id").alias(id_col), F.expr("if(_s = '', null, substring(_s, 2))").alias(source_col)]
     return placed.select(*columns, mixed)
 
 

@@ -28,6 +28,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), keep=False).select("doc_id", "source", "_mix.*")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_on, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit_on(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import fit_on, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit_on(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import edited_pairs
 
@@ -49,7 +63,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_toxicity": op4_toxicity,
         "op5_fingerprint": op5_fingerprint,
+        "op6_quality": op6_quality,
         "op8_pii": op8_pii,
         "op10_sentencepiece": op10_sentencepiece,
     }
