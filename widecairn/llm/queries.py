@@ -48,6 +48,15 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality and not toxic; background: all documents."""
+    from .lm_score import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    target = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return score(docs, target, *fit(docs, target))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -66,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
+        "op7_lm_score": op7_lm_score,
         "op8_pii": op8_pii,
         "op10_sentencepiece": op10_sentencepiece,
     }
