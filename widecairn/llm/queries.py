@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The tokenizer's model file.
 TOKENIZER = "piece_bpe_32k.model"
@@ -63,6 +64,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"), with_output=False)
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_bpe import encode_decode
 
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_lm_score": op7_lm_score,
         "op8_pii": op8_pii,
+        "op9_hnsw": op9_hnsw,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
