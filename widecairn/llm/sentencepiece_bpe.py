@@ -10,8 +10,9 @@ is the sequence that merging gives, because every merge step is local to two nei
 Runs of U+2581 share one merge score, so ties go by place and not by rank.  They come last
 of all merges: the text after a run is encoded with one U+2581 before it, and what remains
 of the run is merged from the left (``_run``).  No piece holds U+2581 after another
-character, so a text falls apart before each run and the parts are encoded alone; parts
-are kept in a bounded cache.
+character, so a text falls apart before each run, and also where a mark meets
+another character if no piece has both; the parts are encoded alone and kept in a
+bounded cache.
 
 Null text counts as empty; an empty text has no ids and decodes to an empty text.
 """
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from ._frames import map_batches, text_or_empty
 
 SPACE = "▁"
+#: Marks, symbols and controls, as the inside of a regular expression's set.
+MARKS = r"!-/:-@\[-`{-~\x00-\x1f\x7f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2010-\u2027\u2030-\u205e"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts whose ids are kept, in each of two generations, and the longest part worth keeping.
-CACHE_PARTS, CACHE_CHARS = 150_000, 64
-Part = tuple[int, str, tuple[int, ...]]
+CACHE_PARTS, CACHE_CHARS = 300_000, 64
+Part = tuple[int, str, tuple[int, ...], bytes]
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -110,13 +113,14 @@ def coder(model: bytes) -> tuple[Encoder, Decoder]:
     key = hashlib.sha256(model).digest()
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(model), Decoder(model)
+        _encoders[key] = (enc := Encoder(model)), enc.decoder
     return _encoders[key]
 
 
 class Encoder:
     def __init__(self, model: bytes):
         v = self.v = Vocabulary(model)
+        self.decoder = Decoder(model)
         self.rank: dict[str, float] = {}
         self.id: dict[str, int] = {}
         for i, (p, s, k) in enumerate(zip(v.pieces, v.scores, v.kinds)):
@@ -132,6 +136,9 @@ class Encoder:
         scores = [s for p, s in words.items() if len(p) > 1]
         if len(set(scores)) < len(scores) or (runs and max(runs.values()) >= min(scores)) or len(set(runs.values())) > 1:
             raise ValueError("two merges of words share a score, or runs of spaces come before words")
+        mark = re.compile(f"[{MARKS}]").match
+        mixed = any(a != SPACE and bool(mark(a)) != bool(mark(b)) for p in words for a, b in zip(p, p[1:]))
+        self._split = self._coarse if mixed else self._fine
         self.runs = set(runs) | {1}
         #: Pieces have numbers from 1; characters that are no piece get theirs when they first occur.
         self.number: dict[str, int] = {}
@@ -268,20 +275,22 @@ class Encoder:
         out = self.out
         return tuple([i for k in pieces for i in out[k]])
 
-    _split = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+    #: Parts of a text with spaces for U+2581: before each run of spaces, and where marks meet letters or digits.
+    _coarse = re.compile("[ ]+[^ ]*|[^ ]+").findall
+    _fine = re.compile(f"[ ]+(?:[^ {MARKS}]+|[{MARKS}]+)?|[^ {MARKS}]+|[{MARKS}]+").findall
 
     def parts(self, text: str) -> list[Part]:
-        """(number of ids, ids in decimal joined by commas, ids) of each part."""
+        """(number of ids, ids in decimal joined by commas, ids, bytes that they decode to) of each part."""
         if not text:
             return []
         cache, out = self.cache, []
-        for part in self._split(SPACE + text.replace(" ", SPACE)):
+        for part in self._split(" " + text.replace(SPACE, " ")):
             found = cache.get(part)
             if found is None:
                 found = self.older.get(part)
                 if found is None:
-                    ids = self._part(part)
-                    found = len(ids), ",".join(map(str, ids)), ids
+                    ids = self._part(part.replace(" ", SPACE))
+                    found = len(ids), ",".join(map(str, ids)), ids, self.decoder.raw(ids)
                 if len(part) <= CACHE_CHARS:
                     if len(cache) >= CACHE_PARTS:
                         self.older, cache = cache, {}
@@ -309,13 +318,18 @@ class Decoder:
             else:
                 self.bytes.append(p.replace(SPACE, " ").encode("utf-8"))
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids; bytes that make no character become U+FFFD, one dummy prefix is taken off."""
+    def raw(self, ids) -> bytes:
         table = self.bytes
-        raw = b"".join([table[i] for i in ids])
+        return b"".join([table[i] for i in ids])
+
+    def finish(self, raw: bytes, ids) -> str:
+        """Text of the bytes of pieces, given the first ids: bytes that make no character become U+FFFD, one dummy prefix is taken off."""
         out = raw.decode("utf-8", "widecairn_each")
-        first = next((i for i in ids if table[i]), 0)
-        return out[1:] if table[first][:1] == b" " and not self.is_byte[first] else out
+        first = next((i for i in ids if self.bytes[i]), 0)
+        return out[1:] if self.bytes[first][:1] == b" " and not self.is_byte[first] else out
+
+    def decode(self, ids: list[int]) -> str:
+        return self.finish(self.raw(ids), ids)
 
 
 def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_output: bool = True) -> DataFrame:
@@ -334,13 +348,13 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
             out = {n: [] for n in ("n", "i", "d", "ids", "text")}
             for text in b["_text"]:
                 parts = enc.parts(text)
-                ids = [i for p in parts for i in p[2]]
-                text = dec.decode(ids)
-                out["n"].append(len(ids))
+                # Decoding strings bytes of pieces together, so a part's bytes can be kept as its ids are.
+                text = dec.finish(b"".join([p[3] for p in parts]), parts[0][2] if parts else ())
+                out["n"].append(sum([p[0] for p in parts]))
                 out["i"].append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
                 out["d"].append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_output:
-                    out["ids"].append(ids)
+                    out["ids"].append([i for p in parts for i in p[2]])
                     out["text"].append(text)
             yield {id_col: b[id_col], "n_tokens": out["n"], "ids_sha256": out["i"], "decoded_sha256": out["d"], "ids": out["ids"], "decoded": out["text"]}
 
