@@ -29,6 +29,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), keep=False).select("doc_id", "source", "_mix.*")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similarity_classes
+
+    return similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_on, score
 
@@ -79,6 +85,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_toxicity": op4_toxicity,
         "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
