@@ -35,6 +35,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_on, score
 
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_fingerprint": op5_fingerprint,
         "op6_quality": op6_quality,
