@@ -61,6 +61,31 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     return df.mapInArrow(run, want)
 
 
+def map_rows(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], tuple]], length_col: str | None = None) -> DataFrame:
+    """All columns of ``df``, some rows dropped or texts changed, without taking the other columns apart.
+
+    ``fn()``, called once per task, gives a function from a batch's texts to (mask or None,
+    texts or None); new texts also set ``length_col`` to their lengths.
+    """
+    prepare(df.sparkSession)
+    columns, at = df.columns, df.columns.index(text_col)
+    size = columns.index(length_col) if length_col in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = fn()
+        for b in batches:
+            mask, texts = own(b.column(at).to_pylist())
+            if texts is not None:
+                arrays = [b.column(k) for k in range(b.num_columns)]
+                arrays[at] = pa.array(texts, type=arrays[at].type)
+                if size is not None:
+                    arrays[size] = pa.array([None if t is None else len(t) for t in texts], type=arrays[size].type)
+                b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+            yield b if mask is None else b.filter(pa.array(mask, type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a local one is made only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._boost import Trees
-from ._frames import map_batches, text_or_empty
+from ._frames import map_batches, map_rows, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base rules.
@@ -286,3 +286,17 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
             yield {id_col: b[id_col], **out}
 
     return map_batches(df.select(F.col(id_col), text_or_empty(text_col).alias("_text")), run, schema)
+
+
+def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", seed: int = 11) -> DataFrame:
+    """The rows, with all their columns, and their spans of personal data replaced by marks; null texts stay null."""
+    trees, thresholds = fitted(seed)
+
+    def clean(text: str | None) -> str | None:
+        if not text:
+            return text
+        base = base_spans(text)
+        spans = [*base, *added_spans(text, base, trees, thresholds)]
+        return redact(text, spans) if spans else text
+
+    return map_rows(df, text_col, lambda: lambda texts: (None, [clean(t) for t in texts]), length_col)

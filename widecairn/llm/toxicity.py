@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import map_batches, text_or_empty
+from ._frames import map_batches, map_rows, text_or_empty
 from ._linear import fit_logistic, labelled, sigmoid
 
 #: Seed words of the first links.
@@ -112,21 +112,42 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_chain([set(r.words.split("\n")) - {""} for r in rows], np.array([float(r.toxic > 0) for r in rows]), [r.id for r in rows])
 
 
+class Scorer:
+    """The chain's probabilities of a text, one for each category."""
+
+    def __init__(self, chain: Chain):
+        self.chain = chain
+        self.at, self.table = chain.tables()
+        self.known = set(self.at)
+
+    def __call__(self, text: str) -> np.ndarray:
+        # Sorted, so that sums, and scores with them, don't depend on the order of a set.
+        found = sorted(self.at[w] for w in self.known.intersection(_words(text.lower())))
+        z = self.table[:, found].sum(axis=1) if found else np.zeros(len(CATEGORIES))
+        p, n = np.zeros(len(CATEGORIES)), len(self.at)
+        for k, w in enumerate(self.chain.weights):
+            p[k] = sigmoid(z[k] + p[:k] @ w[n : n + k] + w[-1]) if w[-1] > -1e8 else 0.0
+        return p
+
+
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Probabilities of each category and the decision for every whole text, one row per row."""
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
 
     def run(batches):
-        at, table = chain.tables()
-        known, n = set(at), len(at)
+        own = Scorer(chain)
         for b in batches:
-            p = np.zeros((len(b["_text"]), len(CATEGORIES)))
-            for row, text in enumerate(b["_text"]):
-                # Sorted, so that sums, and scores with them, don't depend on the order of a set.
-                found = sorted(at[w] for w in known.intersection(_words(text.lower())))
-                z = table[:, found].sum(axis=1) if found else np.zeros(len(CATEGORIES))
-                for k, w in enumerate(chain.weights):
-                    p[row, k] = sigmoid(z[k] + p[row, :k] @ w[n : n + k] + w[-1]) if w[-1] > -1e8 else 0.0
+            p = np.array([own(t) for t in b["_text"]])
             yield {id_col: b[id_col], **{f"p_{c}": p[:, k] for k, c in enumerate(CATEGORIES)}, "toxic": p[:, -1] >= chain.threshold}
 
     return map_batches(df.select(F.col(id_col), text_or_empty(text_col).alias("_text")), run, schema)
+
+
+def accepted(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the chain doesn't take for toxic."""
+
+    def make():
+        own = Scorer(chain)
+        return lambda texts: ([not own(t or "")[-1] >= chain.threshold for t in texts], None)
+
+    return map_rows(df, text_col, make)
