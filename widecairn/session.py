@@ -33,9 +33,12 @@ class Response:
     data: list[dict] | None = None
     rows: int = 0
     columns: list[str] = field(default_factory=list)
+    types: list[str] = field(default_factory=list)  # Spark's names of the columns' types; not part of the JSON form
 
     def as_dict(self) -> dict:
-        return {"code": self.code, "message": self.message, "data": self.data, "rows": self.rows, "columns": self.columns}
+        """The JSON form; empty members are left out."""
+        out = {"code": self.code, "message": self.message, "data": self.data, "rows": self.rows, "columns": self.columns}
+        return {k: v for k, v in out.items() if k == "code" or v}
 
 
 PARSE_FAILED, ANALYSIS_FAILED, EXECUTION_FAILED = 1, 2, 3
@@ -164,7 +167,7 @@ class Engine:
                     raise AnalysisError("two result columns have one name")
                 # Rows of a response stand in JSON, so they are the client's to bound with LIMIT.
                 data = [{c: to_json(v) for c, v in zip(df.columns, r)} for r in df.collect()]
-                out = Response(data=data, rows=len(data), columns=df.columns)
+                out = Response(data=data, rows=len(data), columns=df.columns, types=[t for _, t in df.dtypes])
             else:
                 out = Response(rows=self._change(s))
         except ParseError as e:
