@@ -3,7 +3,8 @@
 Categories are predicted one after the other; each model sees which words a text has and
 the probabilities that the chain gave to the categories before.  While fitting, those
 earlier probabilities are out-of-fold predictions, so that a later model learns from
-probabilities as unsure as those it will meet.
+probabilities as unsure as those it will meet.  That a text has some word of a seed list
+is a feature too, so that a few labelled texts teach something about all its words.
 
 The label table marks a text as toxic or not.  The first links predict kinds of toxicity,
 a toxic text with words of the kind's seed list, and the last link predicts the mark
@@ -40,7 +41,9 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 def words_in(text: str) -> set[str]:
-    return set(_words(text.lower()))
+    """The distinct words, and a mark <category> for each seed list that some are on."""
+    found = set(_words(text.lower()))
+    return found | {f"<{c}>" for c, seeds in SEEDS.items() if not found.isdisjoint(seeds)}
 
 
 class Chain:
@@ -122,7 +125,7 @@ class Scorer:
 
     def __call__(self, text: str) -> np.ndarray:
         # Sorted, so that sums, and scores with them, don't depend on the order of a set.
-        found = sorted(self.at[w] for w in self.known.intersection(_words(text.lower())))
+        found = sorted(self.at[w] for w in self.known.intersection(words_in(text)))
         z = self.table[:, found].sum(axis=1) if found else np.zeros(len(CATEGORIES))
         p, n = np.zeros(len(CATEGORIES)), len(self.at)
         for k, w in enumerate(self.chain.weights):
