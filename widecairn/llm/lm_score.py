@@ -122,7 +122,8 @@ def _sum_blocks(df: DataFrame) -> DataFrame:
 
 def marked(df: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = target.select(F.col(target.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_target", F.lit(True))
-    return df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(ids, "_id", "left").select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    # The marks grow with the corpus: they are joined by a shuffle at every size.
+    return df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(ids.hint("merge"), "_id", "left").select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target"))
 
 
 def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], Models]:
