@@ -10,10 +10,11 @@ Vocabulary: words (lower-cased, split at white space) that make up at least one
 share one unknown token.  Text ends are a token too, so an empty text has one token, its end.
 
 Counts: every task counts its texts.  Words go through one aggregation by word.  Bigrams
-are hashed into ``CELLS`` (2**20) cells, the same for both models, and each task sends its
-cells in blocks; blocks are added up where they meet, in a stream.  What is gathered thus
-grows with the tasks, and what the scoring tasks get is bounded: two arrays of CELLS and
-two of VOCABULARY four-byte counts.
+are counted in ``ROWS`` rows of ``CELLS`` (2**21) cells by as many hashes, the same for both
+models, and a bigram's count is the least of its cells; each task sends its cells in
+blocks, which are added up where they meet, in a stream.  What is gathered thus grows with
+the tasks, and what the scoring tasks get is bounded: for both models ROWS * CELLS
+four-byte counts of bigrams (32 MB in all) and VOCABULARY counts of words.
 
 A row is target if its id is marked by any label row; null ids never are.  Repeated rows
 count and are scored each.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ._frames import map_batches, stored, text_or_empty
 from ._words import mix64, words_of
 
-VOCABULARY, CELLS, BLOCK = 1 << 18, 1 << 20, 1 << 16
+VOCABULARY, CELLS, ROWS, BLOCK = 1 << 18, 1 << 21, 2, 1 << 16
 UNKNOWN, END = 0, 1
 #: Weight of bigrams in the interpolation, and added count of each word.
 BIGRAM, ADDED = 0.6, 0.5
@@ -71,8 +72,9 @@ def numbers(text: str, ids: Ids) -> np.ndarray:
 
 
 def cells(tokens: np.ndarray) -> np.ndarray:
-    pairs = (tokens[:-1].astype(np.uint64) << np.uint64(32)) | tokens[1:].astype(np.uint64)
-    return (mix64(pairs) & np.uint64(CELLS - 1)).astype(np.int64)
+    """The cell of each bigram in each row: rows by bigrams, numbered through all rows."""
+    h = mix64((tokens[:-1].astype(np.uint64) << np.uint64(32)) | tokens[1:].astype(np.uint64))
+    return np.stack([(h >> np.uint64(21 * r) & np.uint64(CELLS - 1)).astype(np.int64) + r * CELLS for r in range(ROWS)])
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -92,29 +94,26 @@ class Models:
         """Mean loss in nats by token of the background and target models, without the text's own counts."""
         before, own, c = tokens[:-1], tokens[1:], cells(tokens)
         # Contexts are the same tokens as those predicted: the end before a text stands for the end after it.
-        own_before, own_words, own_pairs = _own(before), _own(own), _own(c)
+        own_before, own_words, own_pairs = _own(before), _own(own), np.stack([_own(x) for x in c])
         out = np.empty(2)
         for m, held in enumerate((1, int(target))):
             n = self.words[m][before] - held * own_before
-            pair = np.minimum(self.pairs[m][c] - held * own_pairs, n) / np.maximum(n, 1)
+            pair = np.minimum((self.pairs[m][c] - held * own_pairs).min(axis=0), n) / np.maximum(n, 1)
             size = self.words.shape[1]
             single = (self.words[m][own] - held * own_words + ADDED) / (self.total[m] - held * len(own) + ADDED * size)
             out[m] = -np.log(BIGRAM * np.maximum(pair, 0) + (1 - BIGRAM) * single).mean()
         return out
 
 
-def _sum_blocks(df: DataFrame) -> DataFrame:
+def _sum_blocks(df: DataFrame, kind: type) -> DataFrame:
     """Add up rows of (block, counts) in a stream; one task holds each block once."""
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b["block"], b["counts"]):
-                x = np.frombuffer(raw, dtype=np.int64)
-                if k in held:
-                    held[k] = held[k] + x
-                else:
-                    held[k] = x
+                x = np.frombuffer(raw, dtype=kind)
+                held[k] = held[k] + x if k in held else x.astype(np.int64)
         yield {"block": list(held), "counts": [x.tobytes() for x in held.values()]}
 
     return map_batches(df.select("block", "counts"), run, "block int, counts binary")
@@ -140,16 +139,18 @@ def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str
     texts = marked(df, target, id_col, text_col).select("_text", "_target")
 
     def run(batches):
-        table = Ids((w, i + 2) for i, w in enumerate(model_words.value))
-        single, pairs = np.zeros(parts * BLOCK, dtype=np.int64), np.zeros(2 * CELLS, dtype=np.int64)
+        # One task's counts fit in four bytes.
+        table, all_cells = Ids((w, i + 2) for i, w in enumerate(model_words.value)), ROWS * CELLS
+        single, pairs = np.zeros(parts * BLOCK, dtype=np.uint32), np.zeros(2 * all_cells, dtype=np.uint32)
         for b in batches:
             for m in range(2):
                 found = [numbers(t, table) for t, y in zip(b["_text"], b["_target"]) if y or not m]
                 if found:
                     # A text's first token is only context, and its own loss is never asked for.
-                    single[m * size : (m + 1) * size] += np.bincount(np.concatenate([f[1:] for f in found]), minlength=size)
-                    pairs[m * CELLS : (m + 1) * CELLS] += np.bincount(np.concatenate([cells(f) for f in found]), minlength=CELLS)
-        for first, x in ((0, pairs), (2 * CELLS // BLOCK, single)):
+                    single[m * size : (m + 1) * size] += np.bincount(np.concatenate([f[1:] for f in found]), minlength=size).astype(np.uint32)
+                    at, n = np.unique(np.concatenate([cells(f).ravel() for f in found]), return_counts=True)
+                    pairs[m * all_cells + at] += n.astype(np.uint32)
+        for first, x in ((0, pairs), (2 * all_cells // BLOCK, single)):
             blocks = x.reshape(-1, BLOCK)
             full = np.flatnonzero(blocks.any(axis=1))
             for at in range(0, len(full), 16):
@@ -157,15 +158,15 @@ def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str
                 yield {"block": [first + int(k) for k in some], "counts": [blocks[k].tobytes() for k in some]}
 
     made = map_batches(texts, run, "block int, counts binary").withColumn("salt", F.spark_partition_id() % SALTS)
-    n = 2 * CELLS // BLOCK + parts
+    n = 2 * ROWS * CELLS // BLOCK + parts
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = _sum_blocks(made.repartition(min(tasks, n * SALTS), "block", "salt"))
-    whole = _sum_blocks(once.repartition(min(tasks, n), "block"))
-    flat = np.zeros(n * BLOCK, dtype=np.int64)
+    once = _sum_blocks(made.repartition(min(tasks, n * SALTS), "block", "salt"), np.uint32)
+    whole = _sum_blocks(once.repartition(min(tasks, n), "block"), np.int64)
+    pairs, single = np.zeros(2 * ROWS * CELLS, dtype=np.float32), np.zeros(parts * BLOCK)
     for r in whole.toLocalIterator():  # n blocks, a fixed number
-        flat[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64)
-    pairs, single = flat[: 2 * CELLS].reshape(2, CELLS), flat[2 * CELLS : 2 * CELLS + 2 * size].reshape(2, size)
-    return words, Models(single.astype(np.float64), pairs.astype(np.float32))
+        out, first = (pairs, 0) if r.block < 2 * ROWS * CELLS // BLOCK else (single, 2 * ROWS * CELLS // BLOCK)
+        out[(r.block - first) * BLOCK : (r.block - first + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64)
+    return words, Models(single[: 2 * size].reshape(2, size), pairs.reshape(2, ROWS * CELLS))
 
 
 def score(df: DataFrame, target: DataFrame, words: list[str], models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ slots count from 0), until all rows are placed: none is dropped or repeated.
 
 Nothing on the driver grows with the rows: it gets one count per source, and a period is
 at most PERIOD slots.  Rows are numbered within a source without one task holding the
-source: they fall into buckets by a hash of the id, as many as the table needs; buckets
+source: they fall into buckets by a hash of the id, as many as the source needs; buckets
 are counted, counts are summed along, and rows are numbered within their bucket.
 
 A null source is a source of its own.  Ties and repeated rows get numbers in hash order
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Most slots of a period (the sum of integer weights), most sources, and rows of a bucket, about.
 #: The table of slots that tasks get has at most PERIOD * SOURCES four-byte numbers: 16 MB.
-PERIOD, SOURCES, BUCKET_ROWS = 4_000, 1_000, 2_000
+PERIOD, SOURCES, BUCKET_ROWS = 4_000, 1_000, 100
 BLOCK_ROWS = 8
 
 
@@ -111,9 +111,12 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
     plan = phases(a, [-(-counts[s] // block_rows) for s in names])
 
     # Number the rows of each source.
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
+    if not counts:
+        buckets = F.lit(1)
+    else:
+        buckets = F.element_at(F.create_map(*[F.lit(x) for s, n in counts.items() for x in ("" if s is None else f"={s}", -(-n // BUCKET_ROWS))]), F.col("_s"))
     order = F.xxhash64(F.col("_id"), F.lit(seed))
-    tagged = tagged.withColumn("_h", order).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 1), F.lit(buckets)))
+    tagged = tagged.withColumn("_h", order).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 1), buckets))
     by = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # One row per source and bucket; the running sum of one source stays small: rows / BUCKET_ROWS.
     before = tagged.groupBy("_s", "_b").agg(F.count("*").alias("n")).select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_before"))
