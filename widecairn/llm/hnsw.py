@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heappop, heappush, heappushpop
+from math import sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -39,6 +40,14 @@ def usable(col: str):
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
+def distance(a: list[float], b: list[float]) -> float:
+    """Euclidean, summed in the order of the components."""
+    total = 0.0
+    for x, y in zip(a, b):
+        total += (x - y) * (x - y)
+    return sqrt(total)
+
+
 class Graph:
     """Levels from 0 up: (nodes, neighbours); neighbours[i] are those of nodes[i]."""
 
@@ -210,8 +219,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
                 for q in qs:
                     v = np.array(q["v"])
                     found = graph.search(v, max(ef, 2 * k))
-                    # A node holds several ids; all nodes as near as the last count, for ties.
-                    hits = sorted((float(np.sqrt(d)), i) for d, node in found[: k + 1] for i in ids[node] if i != q["id"])[:k]
+                    # A node holds several ids, one of which may be the query's own.
+                    hits = sorted((distance(q["v"], graph.vectors[node].tolist()), i) for _, node in found[: k + 1] for i in ids[node] if i != q["id"])[:k]
                     out += [(q["id"], q["v"], i, s) for s, i in hits]
                 yield {n: [o[j] for o in out] for j, n in enumerate(("query_id", "v", "vec_id", "score"))}
 

@@ -103,5 +103,65 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Copies, links and classes by brute force over all pairs of documents that share a shingle.
+JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END)) AS s FROM words
+), flat AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE c >= 0.8 * (n + m - c) - 1e-9),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+copies AS (SELECT x.doc_id, min(y.doc_id) AS copy_id, count(*) AS n_copies FROM sets x JOIN sets y ON x.s = y.s AND (len(x.s) > 0 OR x.doc_id = y.doc_id) GROUP BY x.doc_id)
+SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, copy_id, n_copies,
+  (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM copies
+"""
+
+#: Exact neighbours: what the graphs' answers are measured against, and equal on small tables.
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda k: (q.e[k] - c.e[k]) * (q.e[k] - c.e[k])))) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY rank <= 10
+"""
+
+#: The mixture slot by slot: of the sources whose next block is released, the one with the earliest deadline.
+MIXING_SQL = """
+WITH RECURSIVE counts AS (
+  SELECT source, count(*) AS n, sqrt(count(*)) AS p FROM documents GROUP BY source
+), src AS (
+  SELECT source, n, CAST(greatest(1, floor(1000 * p / (SELECT sum(p) FROM counts) + 0.5)) AS BIGINT) AS a, CAST(ceil(n / 8.0) AS BIGINT) AS blocks,
+    CAST(row_number() OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS s FROM counts
+), lists AS (SELECT list(a ORDER BY s) AS a, list(blocks ORDER BY s) AS blocks FROM src),
+start_of AS (SELECT a, blocks, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS zero, list_sum(blocks) AS total FROM lists),
+walk(slot, phase, t, d, had, begun, s, k, release, deadline) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS INTEGER), CAST(0 AS BIGINT), CAST(list_sum(a) AS BIGINT), zero, zero, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM start_of
+  UNION ALL
+  SELECT slot + 1, CAST(CASE WHEN ends THEN phase + 1 ELSE phase END AS INTEGER), CASE WHEN ends THEN 0 ELSE t + 1 END,
+    CASE WHEN ends THEN CAST(list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN new_had[i] < blocks[i] THEN a[i] ELSE 0 END)) AS BIGINT) ELSE d END,
+    new_had, CASE WHEN ends THEN new_had ELSE begun END, pick, had[pick], rel, dead
+  FROM (
+    SELECT *, new_had[pick] >= blocks[pick] AS ends, CAST(((had[pick] - begun[pick]) * d) // a[pick] AS BIGINT) AS rel, CAST(((had[pick] - begun[pick] + 1) * d + a[pick] - 1) // a[pick] AS BIGINT) AS dead FROM (
+      SELECT *, list_transform(had, lambda h, i: CASE WHEN i = pick THEN h + 1 ELSE h END) AS new_had FROM (
+        SELECT w.*, z.a, z.blocks, list_min(list_transform(list_filter(range(1, len(z.a) + 1), lambda i: w.had[i] < z.blocks[i] AND ((w.had[i] - w.begun[i]) * w.d) // z.a[i] <= w.t),
+          lambda i: {'d': ((w.had[i] - w.begun[i] + 1) * w.d + z.a[i] - 1) // z.a[i], 'i': CAST(i AS BIGINT)})).i AS pick
+        FROM walk w, start_of z WHERE w.slot + 1 < z.total)))
+), placed AS (SELECT slot, s, k AS block, release, deadline, lag(phase, 1, 0) OVER (ORDER BY slot) AS phase FROM walk),
+numbered AS (
+  SELECT doc_id, d.source, src.s, row_number() OVER (PARTITION BY d.source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % CAST(ceil(src.n / 100.0) AS BIGINT), h, doc_id) - 1 AS n
+  FROM (SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents) d JOIN src ON src.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, source, CAST(phase AS INTEGER) AS phase, block, release, deadline, slot, slot * 8 + n % 8 AS position
+FROM numbered JOIN placed ON placed.s = numbered.s AND block = n // 8 AND slot >= 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": MIXING_SQL, "op2_jaccard_join": JACCARD_SQL, "op9_hnsw": NEAREST_SQL}
