@@ -106,6 +106,8 @@ def test_compaction_and_restart(engine, spark):
 def test_snapshot_reads(engine):
     df = engine.query("SELECT COUNT(*) AS n FROM t")
     engine.execute("DELETE FROM t WHERE id = 1")
+    engine.compact()
+    engine.table("t").clean(grace=-1)
     assert df.collect()[0].n == 3 and engine.query("SELECT COUNT(*) AS n FROM t").collect()[0].n == 2
 
 
@@ -113,7 +115,7 @@ def test_unnamed_files_are_ignored(engine, spark):
     t = engine.table("t")
     spark.range(5).write.parquet(f"{t.root}/data/orphan")
     assert rows(engine) == BEFORE
-    assert t.clean() >= 1 and rows(engine) == BEFORE
+    assert t.clean() == 0 and t.clean(grace=-1) >= 1 and rows(engine) == BEFORE
 
 
 def test_many_deltas_compact_themselves(engine):
@@ -240,3 +242,37 @@ def test_stream_ingestion(engine, spark, tmp_path):
     q = ingest(engine, "t", stream, str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert rows(engine) == [(1, "s", 1, True), (2, "b", 20, False), (3, None, None, True), (9, "s", 9, None)]
+
+
+def test_get_and_explain(engine):
+    assert engine.get("t", id=2) == {"id": 2, "v": "b", "n": 20, "active": False}
+    assert engine.get("t", id=99) is None
+    with pytest.raises(AnalysisError):
+        engine.get("t", v="a")
+    assert "Physical Plan" in engine.explain("SELECT id FROM t WHERE id = 1")
+
+
+def test_group_commit(engine):
+    from widecairn.streaming.group_commit import GroupCommitter
+
+    c = GroupCommitter(engine, "t", interval=0.2)
+    before = engine.table("t").manifest().number
+    done = [c.submit([{"id": 100 + k, "n": k}]) for k in range(20)]
+    assert [d.result(60).rows for d in done] == [1] * 20
+    assert engine.table("t").manifest().number - before < 5
+    good, bad = c.submit([{"id": 200}]), c.submit([{"n": 1}])
+    assert good.result(60).code == 0 and bad.result(60).code != 0
+    c.close()
+    assert engine.query("SELECT * FROM t").count() == 24
+
+
+def test_scheduler(engine):
+    from widecairn.sources.scheduler import Scheduler
+
+    s = Scheduler(engine)
+    engine.table("t").files.write_new(f"{engine.table('t').root}/data/orphan", "x")
+    s.run("clean")
+    s.run("compact")
+    assert s.counts == {"compact": 1, "clean": 1} and not s.last_error and rows(engine) == BEFORE
+    s.start()
+    s.stop()

@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import Config
 from .errors import AnalysisError, EngineError, ParseError, TableNotFound
-from .functions.types import ColumnDef, to_json
+from .functions.types import ColumnDef, to_json, value_for
 from .operators import dml
 from .plans.ast import CreateTable, Delete, Describe, DropTable, Explain, Insert, Select, ShowTables, Update
 from .plans.parser import parse
@@ -195,6 +196,22 @@ class Engine:
         """Bulk upsert of a DataFrame, distributed."""
         return dml.writable(self.table(table)).upsert(df, order_by)
 
+    def get(self, table: str, **key) -> dict | None:
+        """The row with a key, or None."""
+        t = self.table(table)
+        if set(key) != set(t.primary_key):
+            raise AnalysisError(f"the key of {table} is {', '.join(t.primary_key)}")
+        df = t.live()
+        for k, v in key.items():
+            df = df.where(F.col(f"`{k}`") == F.lit(value_for(t.column(k), v)))
+        found = df.limit(1).collect()
+        return found[0].asDict() if found else None
+
+    def explain(self, text: str) -> str:
+        """Spark's formatted plan of a SELECT."""
+        q = self.query(text)._jdf.queryExecution()
+        return q.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def ping(self) -> Response:
         return Response(message="pong")
 
@@ -221,14 +238,14 @@ class Engine:
     def metrics(self) -> dict:
         return dict(self.counts) | dict(self.seconds)
 
-    def _keyed(self, name: str | None) -> list[KeyedTable]:
+    def keyed_tables(self, name: str | None = None) -> list[KeyedTable]:
         return [dml.writable(self.table(n)) for n in ([name] if name else self.catalog.names())]
 
     def flush(self, table: str | None = None) -> None:
-        for t in self._keyed(table):
+        for t in self.keyed_tables(table):
             t.flush()
 
     def compact(self, table: str | None = None) -> None:
-        for t in self._keyed(table):
+        for t in self.keyed_tables(table):
             t.compact()
             t.clean()

@@ -272,12 +272,12 @@ class KeyedTable(Table):
             self.files.delete(f"{self.root}/{delta['dir']}")
             return 0
         self._commit(replace(m, number=m.number + 1, version=delta["version"], deltas=[*m.deltas, {**delta, "rows": rows}]))
-        self._compact_if_due()
+        self.compact_if_due()
         return rows
 
     # -- upkeep -----------------------------------------------------------------------------
 
-    def _compact_if_due(self) -> None:
+    def compact_if_due(self) -> None:
         m = self.manifest()
         if len(m.deltas) >= MOST_DELTAS:
             changed = sum(d["rows"] for d in m.deltas)
@@ -306,12 +306,16 @@ class KeyedTable(Table):
     def flush(self) -> None:
         """Every commit is in files already."""
 
-    def clean(self) -> int:
-        """Delete data folders that the last manifest doesn't name; returns how many."""
+    def clean(self, grace: float = 3600.0) -> int:
+        """Delete data folders that no kept manifest names and that are older than ``grace`` seconds, so
+        that neither readers of recent snapshots nor statements still writing lose files; returns how many."""
         with self.lock:
-            m = self.manifest()
-            named = {d["dir"].split("/")[-1] for d in [*m.deltas, *([m.base] if m.base else [])]}
-            gone = [d for d in self.files.list(f"{self.root}/data") if d not in named]
+            named = set()
+            for n in self.files.list(f"{self.root}/manifests"):
+                if n.startswith("manifest-") and n.endswith(".json"):
+                    m = json.loads(self.files.read(f"{self.root}/manifests/{n}"))
+                    named |= {d["dir"].split("/")[-1] for d in [*m["deltas"], *([m["base"]] if m["base"] else [])]}
+            gone = [d for d in self.files.list(f"{self.root}/data") if d not in named and self.files.age(f"{self.root}/data/{d}") >= grace]
             for d in gone:
                 self.files.delete(f"{self.root}/data/{d}")
             return len(gone)
