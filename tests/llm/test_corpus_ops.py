@@ -12,6 +12,7 @@ from widecairn.llm import hnsw, jaccard_join, lm_score, mixing, substring_dedup
 from widecairn.llm._bayes import least_matches, posterior_reaches
 from widecairn.llm._components import connected_components
 from widecairn.llm._linkage import shared_counts
+from widecairn.llm._words import MinHasher, WordHashes, band_keys, shingle_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,12 +211,29 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
-def test_keys_and_cuts_depend_on_the_words_alone():
-    r = np.random.default_rng(2)
-    own = r.integers(0, 1 << 62, 300).astype(np.uint64)
-    assert substring_dedup.cuts(own)[-1] == 300 and max(np.diff([0, *substring_dedup.cuts(own)])) <= substring_dedup.MOST
-    a, b = substring_dedup.keys_of([own[:20], own[20:50], own[:20]])[[0, 2]]
-    assert a == b == substring_dedup.keys_of([own[:20]])[0] != substring_dedup.keys_of([own[:20][::-1]])[0]
+def test_units_equal_line_by_line():
+    """Keys, places and band keys of many lines at once are those of each line alone."""
+    r = random.Random(7)
+    texts = [passage(r, 25), "  " + passage(r, 40).replace(" ", "  ", 3) + "\t", f"{passage(r, 5)}\n{passage(r, 90).upper()}\n\n{passage(r, 33)} \u0130x", "", "x " * 100, passage(r, 19)]
+    cache, hasher = WordHashes(), MinHasher(14)
+    u = substring_dedup.Units(texts, cache)
+    want = [(d, *line) for d, t in enumerate(texts) for line in substring_dedup.lines_of(t)]
+    assert [(d, a, a + n) for d, a, n in zip(u.doc, u.start, u.size)] == [w[:3] for w in want]
+    keys, bands, k = [], u.band_keys(hasher, 2), 0
+    for row, (d, a, _, words) in enumerate(want):
+        h = cache.array(words)
+        assert u.keys[row] == substring_dedup.keys_of(h, np.array([len(h)]))[0]
+        assert bands[row].tolist() == band_keys(hasher(shingle_set(" ".join(words), cache)), 2)[0].tolist()
+        if len(words) < substring_dedup.LONG_WORDS:
+            continue
+        ends = substring_dedup.cuts(substring_dedup.cut_marks(h).tolist(), 0, len(h))
+        assert ends[-1] == len(h) and max(np.diff([0, *ends])) <= substring_dedup.MOST
+        for first, last in zip([0, *ends[:-1]], ends):
+            s = int(u.piece_start[k])
+            assert texts[d][s : s + int(u.piece_size[k])].lower().split() == words[first:last]
+            assert u.piece_keys[k] == substring_dedup.keys_of(h[first:last], np.array([last - first]))[0]
+            k += 1
+    assert k == len(u.piece_keys)
 
 
 # -- language models -----------------------------------------------------------------------------

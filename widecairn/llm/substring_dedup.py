@@ -59,90 +59,146 @@ def lines_of(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def keys_of(runs: list[np.ndarray]) -> np.ndarray:
-    """One signed 64-bit number for the words of each run, none of them empty."""
-    if not runs:
+def keys_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One signed 64-bit number for each of the runs of words that follow each other, none of them empty."""
+    if not len(sizes):
         return np.empty(0, dtype=np.int64)
-    sizes = np.array([len(h) for h in runs])
     starts = np.cumsum(sizes) - sizes
-    place = (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.uint64)
-    mixed = mix64(np.concatenate(runs) + place * np.uint64(0x9E3779B97F4A7C15))
+    place = (np.arange(len(hashes)) - np.repeat(starts, sizes)).astype(np.uint64)
+    mixed = mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15))
     return mix64(np.add.reduceat(mixed, starts) + sizes.astype(np.uint64)).view(np.int64)
 
 
-def cuts(hashes: np.ndarray) -> list[int]:
-    """Ends of the pieces of a line, as numbers of words."""
-    n = len(hashes)
-    marks = np.flatnonzero(mix64(hashes[:-1] * np.uint64(3) ^ hashes[1:]) % np.uint64(CUT) == 0) + 2
-    out, last = [], 0
-    for m in marks.tolist():
+def cut_marks(hashes: np.ndarray) -> np.ndarray:
+    """Places before which a piece may end: after two words whose hash falls in the class."""
+    if len(hashes) < 2:
+        return np.empty(0, dtype=np.int64)
+    return np.flatnonzero(mix64(hashes[:-1] * np.uint64(3) ^ hashes[1:]) % np.uint64(CUT) == 0) + 2
+
+
+def cuts(marks: list[int], first: int, end: int) -> list[int]:
+    """Ends of the pieces of the line of words [first, end), given the marks from first + 2 on."""
+    out, last = [], first
+    for m in marks:
+        if m >= end:
+            break
         while m - last > MOST:
             last += MOST
             out.append(last)
-        if m - last >= LEAST and m < n:
+        if m - last >= LEAST:
             out.append(m)
             last = m
-    while n - last > MOST:
+    while end - last > MOST:
         last += MOST
         out.append(last)
-    return [*out, n]
-
+    return [*out, end]
+
+
+class Units:
+    """Lines of some texts, and the pieces of the long ones, as arrays."""
+
+    def __init__(self, texts: list[str], cache: WordHashes):
+        words: list[str] = []
+        doc, start, size, count, plain = [], [], [], [], []
+        for d, text in enumerate(texts):
+            at = 0
+            for line in text.split("\n"):
+                n = len(line)
+                if n >= 2 * MIN_WORDS - 1:  # that many words need as many characters
+                    low = line.lower()
+                    own = low.split()
+                    if len(own) >= MIN_WORDS:
+                        words += own
+                        doc.append(d)
+                        start.append(at)
+                        size.append(n)
+                        count.append(len(own))
+                        plain.append(len(low) == n)
+                at += n + 1
+        self.doc, self.start, self.size, self.count = (np.array(x, dtype=np.int64) for x in (doc, start, size, count))
+        self.hashes = cache.array(words)
+        self.first = np.cumsum(self.count) - self.count
+        self.keys = keys_of(self.hashes, self.count)
+        self._pieces(texts, words, np.array(plain, dtype=bool))
+
+    def _pieces(self, texts: list[str], words: list[str], plain: np.ndarray) -> None:
+        """Pieces of long lines: line, first word, words, start, size, key."""
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        gone = np.cumsum(length + 1) - (length + 1)
+        begin = gone + np.repeat(self.start - gone[self.first], self.count) if len(words) else gone
+        # Words of a line with single spaces lie one after the other; elsewhere they are looked up.
+        total = np.add.reduceat(length, self.first) if len(words) else length
+        regular = plain & (total + self.count - 1 == self.size)
+        end = begin + length
+        marks = cut_marks(self.hashes)
+        line, firsts, lasts = [], [], []
+        for k in np.flatnonzero(self.count >= LONG_WORDS).tolist():
+            a, n = int(self.first[k]), int(self.count[k])
+            if not regular[k]:
+                places = [m.span() for m in _word(texts[self.doc[k]], int(self.start[k]), int(self.start[k] + self.size[k]))]
+                if len(places) != n:
+                    continue
+                begin[a : a + n], end[a : a + n] = np.array(places).T
+            lo, hi = np.searchsorted(marks, (a + 2, a + n))
+            ends = cuts(marks[lo:hi].tolist(), a, a + n)
+            line += [k] * len(ends)
+            firsts += [a, *ends[:-1]]
+            lasts += ends
+        self.piece_line, f, e = (np.array(x, dtype=np.int64) for x in (line, firsts, lasts))
+        self.piece_words = e - f
+        self.piece_start = begin[f] if len(f) else f
+        self.piece_size = end[e - 1] - begin[f] if len(f) else f
+        taken = np.repeat(np.isin(np.arange(len(self.count)), self.piece_line), self.count)
+        self.piece_keys = keys_of(self.hashes[taken], self.piece_words)
+
+    def band_keys(self, hasher: MinHasher, rows: int) -> np.ndarray:
+        """Band keys of every line: rows by bands."""
+        all_ = shingle_hashes(self.hashes)
+        # Shingles that begin in the last four words of a line would go over its end.
+        inside = np.ones(len(self.hashes), dtype=bool)
+        for back in range(1, 5):
+            inside[self.first + self.count - back] = False
+        n = self.count - 4
+        return band_keys(hasher.segments(all_[inside[: len(all_)]], np.cumsum(n) - n), rows)
+
+
+#: Words of texts that are looked at together.
+WORDS_TOGETHER = 40_000
+
+
+def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Lines (``keys`` not null) and pieces: id, key, start, size, words, keys."""
 
-def _lines(df: DataFrame, with_keys: bool, bands: int, rows: int) -> DataFrame:
     def run(batches):
         cache, hasher = WordHashes(), MinHasher(bands * rows)
+
+        def emit(ids, texts):
+            u = Units(texts, cache)
+            if not len(u.doc):
+                return
+            ids = np.array(ids, dtype=np.int64)
+            yield {"id": ids[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
+            if len(u.piece_line):
+                yield {"id": ids[u.doc[u.piece_line]], "key": u.piece_keys, "start": u.piece_start, "size": u.piece_size, "words": u.piece_words, "keys": [None] * len(u.piece_line)}
+
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "key", "start", "size", "n", "keys")}
-            for i, text in zip(b["id"], b["_text"]):
-                found = lines_of(text)
-                if not found:
-                    continue
-                hashes = [cache.array(w) for _, _, w in found]
-                out["id"] += [i] * len(found)
-                out["key"] += list(keys_of(hashes))
-                out["start"] += [a for a, _, _ in found]
-                out["size"] += [e - a for a, e, _ in found]
-                out["n"] += [len(h) - 4 for h in hashes]
-                if with_keys:
-                    shingles = [shingle_hashes(h) for h in hashes]
-                    starts = np.cumsum([0, *map(len, shingles[:-1])])
-                    out["keys"] += list(band_keys(hasher.segments(np.concatenate(shingles), starts), rows))
-                else:
-                    out["keys"] += [None] * len(found)
-            yield out
-
-    return map_batches(df, run, "id long, key long, start int, size int, n int, keys array<long>")
-
-
-def _pieces(df: DataFrame) -> DataFrame:
-    def run(batches):
-        cache = WordHashes()
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "key", "start", "size", "words")}
-            for i, text in zip(b["id"], b["_text"]):
-                for start, end, words in lines_of(text):
-                    if len(words) < LONG_WORDS:
-                        continue
-                    hashes = cache.array(words)
-                    places = [m.span() for m in _word(text, start, end)]
-                    ends = cuts(hashes) if len(places) == len(words) else [len(words)]
-                    first = 0
-                    for last in ends:
-                        out["id"].append(i)
-                        out["key"].append(hashes[first:last])
-                        out["start"].append(places[first][0] if len(places) == len(words) else start)
-                        out["size"].append((places[last - 1][1] - places[first][0]) if len(places) == len(words) else end - start)
-                        out["words"].append(last - first)
-                        first = last
-            out["key"] = keys_of(out["key"])
-            yield out
-
-    return map_batches(df, run, "id long, key long, start int, size int, words int")
-
-
-def _clusters(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+            ids, texts, held = [], [], 0
+            for i, t in zip(b["id"], b["_text"]):
+                ids.append(i)
+                texts.append(t)
+                held += len(t) // 6
+                if held >= WORDS_TOGETHER:
+                    yield from emit(ids, texts)
+                    ids, texts, held = [], [], 0
+            if ids:
+                yield from emit(ids, texts)
+
+    return map_batches(docs, run, "id long, key long, start int, size int, words int, keys array<long>")
+
+
+def _clusters(docs: DataFrame, units: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, keeper) of lines that occur in several documents, alike or nearly: the smallest id of their cluster."""
-    lines = _lines(docs, True, bands, rows).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    lines = units.where("keys is not null").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first(F.col("words") - 4).alias("n"), F.first("keys").alias("keys"))
     lines = stored(lines.withColumnRenamed("key", "rep").withColumn("copies", F.lit(1).cast("long")), "lines")
 
     def members_of(wanted):
@@ -156,8 +212,8 @@ def _clusters(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 for text, reps in zip(b["_text"], b["reps"]):
                     left = set(reps)
                     hashes = [cache.array(words) for _, _, words in lines_of(text)]
-                    for k, h in zip(keys_of(hashes).tolist(), hashes):
-                        if k in left:
+                    for h in hashes:
+                        if (k := int(keys_of(h, np.array([len(h)]))[0])) in left:
                             left.discard(k)
                             s = np.unique(shingle_hashes(h))
                             sign = hasher(s)
@@ -208,10 +264,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bands, rows = tune()
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text")).where("id is not null")
-    clusters = _clusters(docs, bands, rows)
-    lines = _lines(docs, False, bands, rows).select("id", "key", "start", "size").join(clusters, "key").where("id > keeper").select("id", "start", "size", F.lit(-1).alias("words"), "keeper")
-    common = _pieces(docs).groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("key", "keeper")
-    pieces = _pieces(docs).join(common, "key").where("id > keeper").select("id", "start", "size", "words", "keeper")
+    # One pass over the texts; its result is read for counting and for joining back.
+    units = stored(_units(docs, bands, rows), "units")
+    clusters = _clusters(docs, units, bands, rows)
+    lines = units.where("keys is not null").select("id", "key", "start", "size").join(clusters, "key").where("id > keeper").select("id", "start", "size", F.lit(-1).alias("words"), "keeper")
+    own = units.where("keys is null").drop("keys")
+    common = own.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("key", "keeper")
+    pieces = own.join(common, "key").where("id > keeper").select("id", "start", "size", "words", "keeper")
     spans = lines.unionByName(pieces).groupBy("id").agg(F.collect_list(F.struct("start", "size", "words", "keeper")).alias("spans"))
 
     def run(batches):
