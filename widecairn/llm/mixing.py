@@ -115,8 +115,8 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
         buckets = F.lit(1)
     else:
         buckets = F.element_at(F.create_map(*[F.lit(x) for s, n in counts.items() for x in ("" if s is None else f"={s}", -(-n // BUCKET_ROWS))]), F.col("_s"))
-    order = F.xxhash64(F.col("_id"), F.lit(seed))
-    tagged = tagged.withColumn("_h", order).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 1), buckets))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    tagged = tagged.withColumn("_h", order).withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), buckets.cast("long")))
     by = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # One row per source and bucket; the running sum of one source stays small: rows / BUCKET_ROWS.
     before = tagged.groupBy("_s", "_b").agg(F.count("*").alias("n")).select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_before"))
