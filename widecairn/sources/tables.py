@@ -33,6 +33,8 @@ from .files import Files
 VERSION, DELETED, ORDER = "_version", "_deleted", "_order"
 #: Deltas after which they are merged, and the share of the base's rows after which the base is rewritten.
 MOST_DELTAS, REWRITE_SHARE = 8, 0.25
+#: Keys of a statement that are looked up by value and not by range.
+FEW_KEYS = 500
 
 
 @dataclass
@@ -217,7 +219,18 @@ class KeyedTable(Table):
                 raise
             return self._add(m, delta, n)
 
+    def _near(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """The rows of ``old`` whose first key column can equal one of ``new``'s: a filter that row-group statistics
+        and bloom filters of the sorted base can use, so that a small insert doesn't read the keys of the whole table."""
+        k = _c(self.primary_key[0])
+        few = new.select(k).distinct().limit(FEW_KEYS + 1).collect()
+        if len(few) <= FEW_KEYS:
+            return old.where(k.isin([r[0] for r in few]))
+        ends = new.agg(F.min(k).alias("lo"), F.max(k).alias("hi")).head()
+        return old.where((k >= F.lit(ends.lo)) & (k <= F.lit(ends.hi)))
+
     def _meets(self, old: DataFrame, new: DataFrame) -> bool:
+        old = self._near(old, new)
         keys = new.select(*[_c(k).alias(f"_k{i}") for i, k in enumerate(self.primary_key)])
         same = [_c(k) == F.col(f"_k{i}") for i, k in enumerate(self.primary_key)]
         return bool(old.select(*map(_c, self.primary_key)).join(keys, same, "left_semi").limit(1).collect())
