@@ -29,10 +29,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         now = new
     while True:
         up = now.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
-        new = stored(now.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")), "links")
+        new = stored(now.select("hi", "lo").join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")), "links")
         moved = new.where("moved").limit(1).count()
         discard(now)
-        now = new.drop("moved")
+        now = new
         if not moved:
             break
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import io
 import tempfile
 import uuid
 import zipfile
@@ -24,15 +25,28 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_widecairn_shipped", False):
         return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), "widecairn.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    root, raw = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
+    path = f"{shared_dir(spark)}/widecairn/code-{uuid.uuid4().hex}/widecairn.zip"
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(raw.getvalue()))
+    stream.close()
     sc.addPyFile(path)
     sc._widecairn_shipped = True
 
 
+def release_memory() -> None:
+    """Give freed memory back: a worker lives on after its task, beside others and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the sources and bound the batches that Python workers get."""
     ship_package(spark)
@@ -57,6 +71,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
 
         for out in fn(columns()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        release_memory()
 
     return df.mapInArrow(run, want)
 
@@ -82,6 +97,7 @@ def map_rows(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], tup
                     arrays[size] = pa.array([None if t is None else len(t) for t in texts], type=arrays[size].type)
                 b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
             yield b if mask is None else b.filter(pa.array(mask, type=pa.bool_()))
+        release_memory()
 
     return df.mapInArrow(run, df.schema)
 
@@ -100,17 +116,17 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/widecairn/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/widecairn/" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_or_empty(col: str = "text"):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bayes import prune
-from ._frames import map_batches, stored
+from ._frames import discard, map_batches, stored
 
 STEP = 30
 #: Sets and shingles of a block, about.
@@ -159,7 +159,9 @@ def linked_sets(reps: DataFrame, members_of: Callable[[DataFrame], DataFrame], t
         if job:
             yield _columns(decide(*job, texts, threshold, tolerance))
 
-    return stored(map_batches(met, run, "rep long, texts long, linked long, root long"), "found")
+    found = stored(map_batches(met, run, "rep long, texts long, linked long, root long"), "found")
+    discard(full, jobs)
+    return found
 
 
 def _columns(rows: list[tuple]) -> dict:

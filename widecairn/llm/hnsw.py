@@ -231,5 +231,5 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
 
 def nearest(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Neighbours of the rows of a table that ``is_query`` (a column) selects, among all its rows."""
-    index = stored(build_index(df, k, id_col, vector_col), "hnsw")
+    index = stored(build_index(df, k, id_col, vector_col), "hnsw")  # the graphs, kept as a table
     return search(index, df.where(is_query), k, id_col, vector_col)

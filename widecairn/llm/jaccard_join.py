@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._frames import map_batches, stored, text_or_empty
+from ._frames import discard, map_batches, stored, text_or_empty
 from ._linkage import linked_sets
 from ._words import MinHasher, WordHashes, band_keys, shingle_set
 
@@ -84,6 +84,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return map_batches(texts, shingles, "rep long, copies long, keys binary, signature binary, shingles binary")
 
     found = linked_sets(reps, members_of, threshold, TOLERANCE)
+    discard(reps)
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     # Texts that share an id belong together too.
     shared = ids.join(sets, ["s1", "s2"]).groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("lo", "hi")
@@ -103,4 +104,4 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of ``df`` whose id is its class's smallest: one text of each group of similar texts, and all without an id."""
     classes = similarity_classes(df.select(id_col, text_col), id_col, text_col)
     dropped = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    return df.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
+    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")

@@ -35,7 +35,7 @@ SPACE = "▁"
 MARKS = r"!-/:-@\[-`{-~\x00-\x1f\x7f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2010-\u2027\u2030-\u205e"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts whose ids are kept, in each of two generations, and the longest part worth keeping.
-CACHE_PARTS, CACHE_CHARS = 300_000, 64
+CACHE_PARTS, CACHE_CHARS = 200_000, 64
 Part = tuple[int, str, tuple[int, ...], bytes]
 
 
