@@ -11,29 +11,40 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
-    """Weights and, last, the intercept, by accelerated gradient steps of fixed length."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w = np.zeros(x.shape[1])
-    if not len(y) or y.min() == y.max():
-        w[-1] = 8.0 if len(y) and y.min() > 0.5 else -8.0
-        return w
-    penalty = np.full(len(w), ridge)
+def fit_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, ridge: float = 0.3, steps: int = 200) -> np.ndarray:
+    """Weights and, last, the intercept, by accelerated gradient steps of fixed length.
+
+    ``rows`` (rows by fits, 0 or 1) says which rows each fit uses; the fits run together and
+    are the result's columns.  Without it there is one fit, of all rows.
+    """
+    one = rows is None
+    rows = np.ones((len(x), 1), dtype=np.float32) if one else rows.astype(np.float32)
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y = y.astype(np.float32)[:, None]
+    w = np.zeros((x.shape[1], rows.shape[1]), dtype=np.float32)
+    penalty = np.full((x.shape[1], 1), ridge, dtype=np.float32)
     penalty[-1] = 1e-3
-    # The largest curvature, by a few power iterations.
-    v = np.ones(len(w))
-    for _ in range(8):
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v)
-    rate = 1 / (0.25 * float(v @ (x.T @ (x @ v))) * 1.1 + ridge)
-    z, t = w.copy(), 1.0
-    for _ in range(steps):
-        g = x.T @ (sigmoid(x @ z) - y) + penalty * z
-        new = z - rate * g
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z = new + (t - 1) / t2 * (new - w)
-        w, t = new, t2
-    return w
+    if len(y):
+        # The largest curvature, by a few power iterations.
+        v = np.ones(x.shape[1], dtype=np.float32)
+        for _ in range(8):
+            v = x.T @ (x @ v)
+            v /= np.linalg.norm(v)
+        rate = np.float32(1 / (0.25 * float(v @ (x.T @ (x @ v))) * 1.1 + ridge))
+        z, t = w.copy(), 1.0
+        for _ in range(steps):
+            g = x.T @ (rows * (sigmoid(x @ z) - y)) + penalty * z
+            new = z - rate * g
+            t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            z = new + np.float32((t - 1) / t2) * (new - w)
+            w, t = new, t2
+    for k in range(w.shape[1]):  # one class only
+        held = y[rows[:, k] > 0]
+        if not len(held) or held.min() == held.max():
+            w[:, k] = 0
+            w[-1, k] = 8.0 if len(held) and held.min() > 0.5 else -8.0
+    w = w.astype(np.float64)
+    return w[:, 0] if one else w
 
 
 def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, id_col: str = "doc_id", text_col: str = "text", where=None) -> DataFrame:
