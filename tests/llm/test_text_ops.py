@@ -240,5 +240,8 @@ def test_minhash_estimates_jaccard():
     a, b = shingle_set(" ".join(words[:2000]), cache), shingle_set(" ".join(words[1000:]), cache)
     h = MinHasher(2000)
     assert abs((h(a) == h(b)).mean() - 1 / 3) < 0.05
+    starts = np.array([0, 3, 4, 900, 1500])
+    want = [h(x) for x in np.split(a, starts[1:])]
+    assert all((h.segments(a, starts, n) == want).all() for n in (64, 100, 1000, 65536))
     assert len(shingle_set("one two", cache)) == 1 and len(shingle_set(" ", cache)) == 0
     assert band_keys(h(a), 5).shape == (1, 400)

@@ -79,10 +79,17 @@ class MinHasher:
             np.minimum(out, (x[i : i + 2048, None] * self.a + self.b).min(axis=0), out=out)
         return out
 
-    def segments(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def segments(self, shingles: np.ndarray, starts: np.ndarray, together: int = 65536) -> np.ndarray:
         """One row of values for each segment [starts[i], starts[i + 1]), none of them empty."""
         x = (shingles >> np.uint64(32)).astype(np.uint32)
-        return np.minimum.reduceat(x[:, None] * self.a + self.b, starts, axis=0)
+        out = np.full((len(starts), len(self.a)), 0xFFFFFFFF, dtype=np.uint32)
+        for lo in range(0, len(x), together):
+            hi = min(lo + together, len(x))
+            first, last = np.searchsorted(starts, (lo, hi - 1), side="right") - 1
+            at = np.maximum(starts[first : last + 1], lo) - lo
+            part = np.minimum.reduceat(x[lo:hi, None] * self.a + self.b, at, axis=0)
+            np.minimum(out[first : last + 1], part, out=out[first : last + 1])
+        return out
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:

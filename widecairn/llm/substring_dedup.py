@@ -5,10 +5,11 @@ cluster with every line whose five-word shingles have a Jaccard similarity of at
 0.8; bands are tuned for recall (``tune``), colliding lines are verified exactly, and
 clusters are components of the links.  Equal lines are collapsed first.
 
-A passage can also stand inside a longer line.  Lines of at least ``LONG_WORDS`` words are
-therefore cut where their words say so (after two words whose hash falls in one of
-``CUT`` classes), so that a passage is cut alike wherever it stands; equal pieces are
-one cluster, and neighbouring pieces with at least ``RUN_WORDS`` words in all count.
+A passage can also stand inside a longer line, or go over several short ones.  Texts of at
+least ``LONG_WORDS`` words are therefore also cut where their words say so (after two words
+whose hash falls in one of ``CUT`` classes), so that a passage is cut alike wherever it
+stands; equal pieces are one cluster, and neighbouring pieces with at least ``RUN_WORDS``
+words in all count.
 
 The document with a cluster's smallest id keeps its paragraphs, all others' are removed.
 A cluster within one document removes nothing.  Null text counts as empty; rows with a
@@ -30,7 +31,7 @@ from ._linkage import linked_sets
 from ._words import MinHasher, WordHashes, band_keys, mix64, shingle_hashes
 
 THRESHOLD, RECALL, MOST_BANDS = 0.8, 0.999, 8
-MIN_WORDS, RUN_WORDS, LONG_WORDS = 20, 12, 30
+MIN_WORDS, RUN_WORDS, LONG_WORDS = 20, 14, 30
 #: One in CUT places ends a piece, if the piece has LEAST words; at MOST words it ends anyway.
 CUT, LEAST, MOST = 6, 3, 40
 
@@ -77,7 +78,7 @@ def cut_marks(hashes: np.ndarray) -> np.ndarray:
 
 
 def cuts(marks: list[int], first: int, end: int) -> list[int]:
-    """Ends of the pieces of the line of words [first, end), given the marks from first + 2 on."""
+    """Ends of the pieces of the words [first, end), given the marks from first + 2 on."""
     out, last = [], first
     for m in marks:
         if m >= end:
@@ -95,7 +96,7 @@ def cuts(marks: list[int], first: int, end: int) -> list[int]:
 
 
 class Units:
-    """Lines of some texts, and the pieces of the long ones, as arrays."""
+    """Lines of some texts that are long enough, and the pieces of the texts, as arrays."""
 
     def __init__(self, texts: list[str], cache: WordHashes):
         words: list[str] = []
@@ -103,53 +104,44 @@ class Units:
         for d, text in enumerate(texts):
             at = 0
             for line in text.split("\n"):
-                n = len(line)
-                if n >= 2 * MIN_WORDS - 1:  # that many words need as many characters
-                    low = line.lower()
-                    own = low.split()
-                    if len(own) >= MIN_WORDS:
-                        words += own
-                        doc.append(d)
-                        start.append(at)
-                        size.append(n)
-                        count.append(len(own))
-                        plain.append(len(low) == n)
-                at += n + 1
-        self.doc, self.start, self.size, self.count = (np.array(x, dtype=np.int64) for x in (doc, start, size, count))
-        self.hashes = cache.array(words)
+                low = line.lower()
+                own = low.split()
+                if own:
+                    words += own
+                    doc.append(d)
+                    start.append(at)
+                    size.append(len(line))
+                    count.append(len(own))
+                    plain.append(len(low) == len(line))
+                at += len(line) + 1
+        all_doc, all_start, all_size, all_count = (np.array(x, dtype=np.int64) for x in (doc, start, size, count))
+        all_hashes = cache.array(words)
+        unit = all_count >= MIN_WORDS
+        self.doc, self.start, self.size, self.count = all_doc[unit], all_start[unit], all_size[unit], all_count[unit]
+        self.hashes = all_hashes[np.repeat(unit, all_count)]
         self.first = np.cumsum(self.count) - self.count
         self.keys = keys_of(self.hashes, self.count)
-        self._pieces(texts, words, np.array(plain, dtype=bool))
-
-    def _pieces(self, texts: list[str], words: list[str], plain: np.ndarray) -> None:
-        """Pieces of long lines: line, first word, words, start, size, key."""
-        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        gone = np.cumsum(length + 1) - (length + 1)
-        begin = gone + np.repeat(self.start - gone[self.first], self.count) if len(words) else gone
-        # Words of a line with single spaces lie one after the other; elsewhere they are looked up.
-        total = np.add.reduceat(length, self.first) if len(words) else length
-        regular = plain & (total + self.count - 1 == self.size)
-        end = begin + length
-        marks = cut_marks(self.hashes)
-        line, firsts, lasts = [], [], []
-        for k in np.flatnonzero(self.count >= LONG_WORDS).tolist():
-            a, n = int(self.first[k]), int(self.count[k])
-            if not regular[k]:
-                places = [m.span() for m in _word(texts[self.doc[k]], int(self.start[k]), int(self.start[k] + self.size[k]))]
-                if len(places) != n:
-                    continue
-                begin[a : a + n], end[a : a + n] = np.array(places).T
-            lo, hi = np.searchsorted(marks, (a + 2, a + n))
-            ends = cuts(marks[lo:hi].tolist(), a, a + n)
-            line += [k] * len(ends)
-            firsts += [a, *ends[:-1]]
-            lasts += ends
-        self.piece_line, f, e = (np.array(x, dtype=np.int64) for x in (line, firsts, lasts))
+        begin, end = _places(texts, words, all_doc, all_start, all_size, all_count, np.array(plain, dtype=bool))
+        self._pieces(all_doc, all_count, all_hashes, begin, end)
+
+    def _pieces(self, doc: np.ndarray, count: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Pieces of the texts with enough words, which go on over line ends: text, words, start, size, key."""
+        marks, docs, firsts, lasts, at = cut_marks(hashes), [], [], [], 0
+        taken = np.zeros(len(hashes), dtype=bool)
+        for d, n in enumerate(np.bincount(doc, count).astype(np.int64).tolist() if len(doc) else []):
+            if n >= LONG_WORDS:
+                lo, hi = np.searchsorted(marks, (at + 2, at + n))
+                ends = cuts(marks[lo:hi].tolist(), at, at + n)
+                docs += [d] * len(ends)
+                firsts += [at, *ends[:-1]]
+                lasts += ends
+                taken[at : at + n] = True
+            at += n
+        self.piece_doc, f, e = (np.array(x, dtype=np.int64) for x in (docs, firsts, lasts))
         self.piece_words = e - f
         self.piece_start = begin[f] if len(f) else f
         self.piece_size = end[e - 1] - begin[f] if len(f) else f
-        taken = np.repeat(np.isin(np.arange(len(self.count)), self.piece_line), self.count)
-        self.piece_keys = keys_of(self.hashes[taken], self.piece_words)
+        self.piece_keys = keys_of(hashes[taken], self.piece_words)
 
     def band_keys(self, hasher: MinHasher, rows: int) -> np.ndarray:
         """Band keys of every line: rows by bands."""
@@ -162,6 +154,27 @@ class Units:
         return band_keys(hasher.segments(all_[inside[: len(all_)]], np.cumsum(n) - n), rows)
 
 
+def _places(texts: list[str], words: list[str], doc, start, size, count, plain) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in its text."""
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    if not len(words):
+        return length, length
+    first = np.cumsum(count) - count
+    gone = np.cumsum(length + 1) - (length + 1)
+    begin = gone + np.repeat(start - gone[first], count)
+    end = begin + length
+    # Words of a line with single spaces lie one after the other; elsewhere they are looked up.
+    regular = plain & (np.add.reduceat(length, first) + count - 1 == size)
+    for k in np.flatnonzero(~regular).tolist():
+        a, n = int(first[k]), int(count[k])
+        places = [m.span() for m in _word(texts[doc[k]], int(start[k]), int(start[k] + size[k]))]
+        if len(places) == n:
+            begin[a : a + n], end[a : a + n] = np.array(places).T
+        else:  # lower case made or unmade white space: the whole line for each of its words
+            begin[a : a + n], end[a : a + n] = start[k], start[k] + size[k]
+    return begin, end
+
+
 #: Words of texts that are looked at together.
 WORDS_TOGETHER = 40_000
 
@@ -174,12 +187,11 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
         def emit(ids, texts):
             u = Units(texts, cache)
-            if not len(u.doc):
-                return
             ids = np.array(ids, dtype=np.int64)
-            yield {"id": ids[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
-            if len(u.piece_line):
-                yield {"id": ids[u.doc[u.piece_line]], "key": u.piece_keys, "start": u.piece_start, "size": u.piece_size, "words": u.piece_words, "keys": [None] * len(u.piece_line)}
+            if len(u.doc):
+                yield {"id": ids[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
+            if len(u.piece_doc):
+                yield {"id": ids[u.piece_doc], "key": u.piece_keys, "start": u.piece_start, "size": u.piece_size, "words": u.piece_words, "keys": [None] * len(u.piece_doc)}
 
         for b in batches:
             ids, texts, held = [], [], 0
@@ -240,7 +252,7 @@ def _merge(spans: list) -> list[tuple[int, int, list[int]]]:
     run: list = []
     for p in [*pieces, None]:
         # Neighbouring pieces have only white space between them, which one character mostly is.
-        if run and (p is None or p[0] > run[-1][1] + 2):
+        if run and (p is None or p[0] > run[-1][1] + 4):
             if sum(x[2] for x in run) >= RUN_WORDS:
                 whole += [(a, b, k) for a, b, _, k in run]
             run = []
