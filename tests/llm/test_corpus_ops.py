@@ -197,12 +197,14 @@ def test_repeated_passages(spark):
     rows = [(k, "\n".join(passage(r, 15) for _ in range(4))) for k in range(30)]
     rows += [(100, f"{passage(r, 10)}\n{p}\n{passage(r, 10)}"), (101, f"{p}\n{passage(r, 30)}"), (102, f"{passage(r, 25)} {q} {passage(r, 9)}"), (103, f"{passage(r, 12)} {q} {passage(r, 40)}")]
     rows += [(104, " ".join(near)), (105, f"{passage(r, 8)}\n{' '.join(changed)}"), (106, f"{passage(r, 40)}\n" * 3), (107, None), (108, ""), (None, p), (109, "x" * 9000), (110, "short line\n" * 50)]
+    wrapped = passage(r, 80).split()
+    rows += [(120, passage(r, 20) + "\n" + "\n".join(" ".join(wrapped[k : k + 8]) for k in range(0, 80, 8))), (121, "\n".join(" ".join(wrapped[k : k + 11]) for k in range(0, 80, 11)) + "\n\n" + passage(r, 12))]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, keeper_ids string")
     got = {x.doc_id: x for x in substring_dedup.repeated_spans(df).collect()}
     texts = dict(rows)
     assert len(got) == len(rows)
-    assert {i for i, x in got.items() if x.n_removed} == {101, 103, 105}
-    assert [got[i].keeper_ids for i in (101, 103, 105)] == [[100], [102], [104]]
+    assert {i for i, x in got.items() if x.n_removed} == {101, 103, 105, 121}
+    assert [got[i].keeper_ids for i in (101, 103, 105, 121)] == [[100], [102], [104], [120]]
     assert got[101].removed_spans == f"0:{len(p)}"
     a, e = map(int, got[103].removed_spans.split(":"))
     assert texts[103][a:e] in q and e - a > len(q) / 2
@@ -219,18 +221,21 @@ def test_units_equal_line_by_line():
     u = substring_dedup.Units(texts, cache)
     want = [(d, *line) for d, t in enumerate(texts) for line in substring_dedup.lines_of(t)]
     assert [(d, a, a + n) for d, a, n in zip(u.doc, u.start, u.size)] == [w[:3] for w in want]
-    keys, bands, k = [], u.band_keys(hasher, 2), 0
-    for row, (d, a, _, words) in enumerate(want):
+    bands, k = u.band_keys(hasher, 2), 0
+    for row, (_, _, _, words) in enumerate(want):
         h = cache.array(words)
         assert u.keys[row] == substring_dedup.keys_of(h, np.array([len(h)]))[0]
         assert bands[row].tolist() == band_keys(hasher(shingle_set(" ".join(words), cache)), 2)[0].tolist()
+    for d, t in enumerate(texts):
+        words = t.lower().split()
         if len(words) < substring_dedup.LONG_WORDS:
             continue
+        h = cache.array(words)
         ends = substring_dedup.cuts(substring_dedup.cut_marks(h).tolist(), 0, len(h))
         assert ends[-1] == len(h) and max(np.diff([0, *ends])) <= substring_dedup.MOST
         for first, last in zip([0, *ends[:-1]], ends):
             s = int(u.piece_start[k])
-            assert texts[d][s : s + int(u.piece_size[k])].lower().split() == words[first:last]
+            assert u.piece_doc[k] == d and texts[d][s : s + int(u.piece_size[k])].lower().split() == words[first:last]
             assert u.piece_keys[k] == substring_dedup.keys_of(h[first:last], np.array([last - first]))[0]
             k += 1
     assert k == len(u.piece_keys)
@@ -256,7 +261,7 @@ def test_lm_equals_dictionaries(spark, docs):
             one[m].update(x[1:])
             two[m].update(zip(x, x[1:]))
     size = len(words) + 2
-    got = lm_score.score(df, labels, words, models).collect()
+    got, off = lm_score.score(df, labels, words, models).collect(), []
     assert len(got) == len(rows)
     for r in random.Random(1).sample(got, 40) + [x for x in got if x.doc_id in (9000, 9001, None)]:
         x = tokens[r.doc_id]
@@ -268,13 +273,15 @@ def test_lm_equals_dictionaries(spark, docs):
             loss = 0.0
             for a, b in zip(x, x[1:]):
                 n = one[m][a] - held * own1[a]
-                pair = max(0, min(two[m][a, b] - held * own2[a, b], n)) / max(n, 1)
+                pair = max(0, min(two[m][a, b] - held * own2[a, b] - models.noise[m], n)) / max(n, 1)
                 loss -= np.log(lm_score.BIGRAM * pair + (1 - lm_score.BIGRAM) * (one[m][b] - held * own1[b] + lm_score.ADDED) / (n_all + lm_score.ADDED * size))
             want.append(loss / (len(x) - 1))
         assert r.n_tokens == len(x) - 1
-        # Bigrams that share a cell make tiny differences.
-        assert r.loss_background == pytest.approx(want[0], abs=0.05) and r.loss_target == pytest.approx(want[1], abs=0.05)
+        off += [abs(r.loss_background - want[0]), abs(r.loss_target - want[1])]
         assert r.score == pytest.approx(r.loss_target - r.loss_background)
+    # Few bigrams share both their cells with others.
+    assert np.median(off) < 1e-6 and np.mean(off) < 0.05 and max(off) < 0.5
+
 
 
 def test_lm_prefers_the_target(spark):

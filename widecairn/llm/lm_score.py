@@ -10,11 +10,12 @@ Vocabulary: words (lower-cased, split at white space) that make up at least one
 share one unknown token.  Text ends are a token too, so an empty text has one token, its end.
 
 Counts: every task counts its texts.  Words go through one aggregation by word.  Bigrams
-are counted in ``ROWS`` rows of ``CELLS`` (2**21) cells by as many hashes, the same for both
-models, and a bigram's count is the least of its cells; each task sends its cells in
-blocks, which are added up where they meet, in a stream.  What is gathered thus grows with
+are counted in ``ROWS`` rows of ``CELLS`` (2**20) cells by as many hashes, the same for both
+models; a bigram's count is the least of its cells less what a cell gets on average, so
+bigrams that make up about one in CELLS tokens or more are told apart at any size.  Each
+task sends its cells in blocks, which are added up where they meet, in a stream.  What is gathered thus grows with
 the tasks, and what the scoring tasks get is bounded: for both models ROWS * CELLS
-four-byte counts of bigrams (32 MB in all) and VOCABULARY counts of words.
+four-byte counts of bigrams (16 MB in all) and VOCABULARY counts of words.
 
 A row is target if its id is marked by any label row; null ids never are.  Repeated rows
 count and are scored each.
@@ -28,17 +29,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import map_batches, stored, text_or_empty
+from ._frames import discard, map_batches, stored, text_or_empty
 from ._words import mix64, words_of
 
-VOCABULARY, CELLS, ROWS, BLOCK = 1 << 18, 1 << 21, 2, 1 << 16
+VOCABULARY, CELLS, ROWS, BLOCK = 1 << 18, 1 << 20, 2, 1 << 16
 UNKNOWN, END = 0, 1
 #: Weight of bigrams in the interpolation, and added count of each word.
 BIGRAM, ADDED = 0.6, 0.5
 #: Distinct words that a task counts before it sends them on.
 HELD_WORDS = 200_000
-#: Blocks of counts are first added up in so many groups, then by block.
-SALTS = 16
+#: Tasks whose blocks meet in one task at most; with more, blocks are first added up in groups.
+MOST_TASKS = 500
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -74,7 +75,7 @@ def numbers(text: str, ids: Ids) -> np.ndarray:
 def cells(tokens: np.ndarray) -> np.ndarray:
     """The cell of each bigram in each row: rows by bigrams, numbered through all rows."""
     h = mix64((tokens[:-1].astype(np.uint64) << np.uint64(32)) | tokens[1:].astype(np.uint64))
-    return np.stack([(h >> np.uint64(21 * r) & np.uint64(CELLS - 1)).astype(np.int64) + r * CELLS for r in range(ROWS)])
+    return np.stack([(h >> np.uint64(20 * r) & np.uint64(CELLS - 1)).astype(np.int64) + r * CELLS for r in range(ROWS)])
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -89,6 +90,8 @@ class Models:
     def __init__(self, words: np.ndarray, pairs: np.ndarray):
         self.words, self.pairs = words, pairs
         self.total = words.sum(axis=1)
+        #: What a cell holds on average.
+        self.noise = self.total / CELLS
 
     def losses(self, tokens: np.ndarray, target: bool) -> np.ndarray:
         """Mean loss in nats by token of the background and target models, without the text's own counts."""
@@ -98,7 +101,7 @@ class Models:
         out = np.empty(2)
         for m, held in enumerate((1, int(target))):
             n = self.words[m][before] - held * own_before
-            pair = np.minimum((self.pairs[m][c] - held * own_pairs).min(axis=0), n) / np.maximum(n, 1)
+            pair = np.minimum((self.pairs[m][c] - held * own_pairs).min(axis=0) - self.noise[m], n) / np.maximum(n, 1)
             size = self.words.shape[1]
             single = (self.words[m][own] - held * own_words + ADDED) / (self.total[m] - held * len(own) + ADDED * size)
             out[m] = -np.log(BIGRAM * np.maximum(pair, 0) + (1 - BIGRAM) * single).mean()
@@ -132,6 +135,7 @@ def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
     # Bounded: at most VOCABULARY words can each be one of VOCABULARY tokens.
     words = sorted(r.word for r in counts.where(F.col("n") * VOCABULARY >= total).select("word").collect())
+    discard(counts)
     model_words = spark.sparkContext.broadcast(words)
     size = len(words) + 2
     parts = -(-2 * size // BLOCK)
@@ -157,11 +161,14 @@ def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str
                 some = full[at : at + 16]
                 yield {"block": [first + int(k) for k in some], "counts": [blocks[k].tobytes() for k in some]}
 
-    made = map_batches(texts, run, "block int, counts binary").withColumn("salt", F.spark_partition_id() % SALTS)
+    made = map_batches(texts, run, "block int, counts binary")
     n = 2 * ROWS * CELLS // BLOCK + parts
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = _sum_blocks(made.repartition(min(tasks, n * SALTS), "block", "salt"), np.uint32)
-    whole = _sum_blocks(once.repartition(min(tasks, n), "block"), np.int64)
+    tasks, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), np.uint32
+    if tasks > MOST_TASKS:
+        groups = -(-tasks // MOST_TASKS)
+        made = _sum_blocks(made.withColumn("salt", F.spark_partition_id() % groups).repartition(n * groups, "block", "salt"), kind)
+        kind = np.int64
+    whole = _sum_blocks(made.repartition(min(tasks, n), "block"), kind)
     pairs, single = np.zeros(2 * ROWS * CELLS, dtype=np.float32), np.zeros(parts * BLOCK)
     for r in whole.toLocalIterator():  # n blocks, a fixed number
         out, first = (pairs, 0) if r.block < 2 * ROWS * CELLS // BLOCK else (single, 2 * ROWS * CELLS // BLOCK)
