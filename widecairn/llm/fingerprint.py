@@ -81,7 +81,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Rows that one task puts in order, about.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 100_000
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
