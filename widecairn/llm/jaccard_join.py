@@ -90,7 +90,9 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = ids.join(sets, ["s1", "s2"]).groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("lo", "hi")
     roots = connected_components(found.select("rep", "root").unionByName(shared.toDF("rep", "root")))
     named = sets.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("s1", "s2", "rep", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    # Written, so that the last join shuffles both sides and a large group of copies can be split.
+    named = stored(named.select("s1", "s2", "rep", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")), "named")
+    discard(found)
     return marks.select("id", "s1", "s2").join(named, ["s1", "s2"], "left").select(
         F.col("id").cast(dict(df.dtypes)[id_col]).alias(id_col),
         F.coalesce("root", "id").alias("class_id"),
@@ -103,5 +105,5 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is its class's smallest: one text of each group of similar texts, and all without an id."""
     classes = similarity_classes(df.select(id_col, text_col), id_col, text_col)
-    dropped = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_dropped")).distinct()
+    dropped = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_dropped"))
     return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")
