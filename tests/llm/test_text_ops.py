@@ -201,9 +201,9 @@ def test_later_links_use_earlier_probabilities():
     texts, y = [], []
     for k in range(600):
         bad = k % 3 == 0
-        texts.append({f"w{r.randrange(300)}" for _ in range(20)} | ({r.choice(toxicity.SEEDS["insult"])} if bad else set()))
+        texts.append("\n".join({f"w{r.randrange(300)}" for _ in range(20)} | ({r.choice(toxicity.SEEDS["insult"])} if bad else set())))
         y.append(float(bad))
-    chain = toxicity.fit_chain(texts, np.array(y), list(range(600)))
+    chain = toxicity.fit_chain(toxicity.Texts(texts), np.array(y), list(range(600)))
     n = len(chain.vocabulary)
     assert chain.weights[-1][n] > 0  # the first link's probability speaks for the last
     assert toxicity.Scorer(chain)("You Moron w1 w2")[-1] > 0.5 > toxicity.Scorer(chain)("w1 w2 w3")[-1]

@@ -43,15 +43,17 @@ PRECISION = 0.97
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def words_in(text: str) -> set[str]:
-    """The distinct words, their beginnings, and a mark <category> for each seed list that some are on."""
-    found = set(_words(text.lower()))
-    marks = [f"<{c}>" for c, seeds in SEEDS.items() if not found.isdisjoint(seeds)]
-    begun = [w[:n] for w in found for n in BEGINNINGS if len(w) > n]
-    found.update(begun, marks)
+def features_of(words: set[str]) -> set[str]:
+    """The words, their beginnings, and a mark <category> for each seed list that some are on."""
+    found = {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
+    found.update(words, [f"<{c}>" for c, seeds in SEEDS.items() if not words.isdisjoint(seeds)])
     return found
 
 
+def words_in(text: str) -> set[str]:
+    return features_of(set(_words(text.lower())))
+
+
 class Chain:
     def __init__(self, vocabulary: list[str], weights: list[np.ndarray], threshold: float):
         self.vocabulary, self.weights, self.threshold = vocabulary, weights, threshold
@@ -61,16 +63,36 @@ class Chain:
         return {w: i for i, w in enumerate(self.vocabulary)}, np.array([w[:n] for w in self.weights])
 
 
-def select_words(sets: list[set[str]], y: np.ndarray) -> list[str]:
-    """The words that differ most between toxic and other texts, by the chi-squared statistic."""
-    n, n1 = len(sets), float(y.sum())
-    count: dict[str, list[int]] = {}
-    for s, t in zip(sets, y):
+class Texts:
+    """Features of the sample's texts, made anew at each pass: only the distinct words are held."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __iter__(self):
+        return (features_of(set(w.split("\n")) - {""}) for w in self.words)
+
+
+def select_words(texts: Texts, y: np.ndarray) -> list[str]:
+    """The features that differ most between toxic and other texts, by the chi-squared statistic."""
+    n, n1 = len(texts), float(y.sum())
+    # Counts by hash come first, so that the many features of one or two texts take no memory.
+    cells = np.zeros(1 << 21, dtype=np.int32)
+    for s in texts:
+        cells[np.fromiter((hash(w) & 0x1FFFFF for w in s), dtype=np.int64, count=len(s))] += 1
+    often = bytes(np.minimum(cells, LEAST_TEXTS).astype(np.uint8))
+    count: dict[str, int] = {}
+    for s, t in zip(texts, y):
+        one = 1 << 32 if t else 1
         for w in s:
-            c = count.setdefault(w, [0, 0])
-            c[int(t)] += 1
+            if often[hash(w) & 0x1FFFFF] == LEAST_TEXTS:
+                count[w] = count.get(w, 0) + one
     scored = []
-    for w, (a, b) in count.items():
+    for w, c in count.items():
+        a, b = c & 0xFFFFFFFF, c >> 32
         if a + b >= LEAST_TEXTS:
             d = a + b
             expected = d * n1 / n
@@ -79,24 +101,27 @@ def select_words(sets: list[set[str]], y: np.ndarray) -> list[str]:
     return [w for _, w in scored[:WORDS]]
 
 
-def fit_chain(texts: list[set[str]], toxic: np.ndarray, ids: list[int]) -> Chain:
+def fit_chain(texts: Texts, toxic: np.ndarray, ids: list[int]) -> Chain:
     if not len(texts):
         return Chain([], [np.array([-1e9]) for _ in CATEGORIES], 0.5)
     vocabulary = select_words(texts, toxic)
     at = {w: i for i, w in enumerate(vocabulary)}
-    x = np.zeros((len(texts), len(vocabulary) + len(CATEGORIES) - 1))
+    known, seeded = set(at), np.zeros((len(texts), len(SEEDS)))
+    x = np.zeros((len(texts), len(vocabulary) + len(CATEGORIES) - 1), dtype=np.float32)
     for row, s in enumerate(texts):
-        for w in s:
-            if (i := at.get(w)) is not None:
-                x[row, i] = 1
+        x[row, [at[w] for w in known & s]] = 1
+        seeded[row] = [f"<{c}>" in s for c in SEEDS]
     fold = np.array([(int(i) * 0x9E3779B1 & 0xFFFFFFFF) >> 8 for i in ids]) % FOLDS
-    marks = [toxic * np.array([not s.isdisjoint(SEEDS[c]) for s in texts]) if c in SEEDS else toxic for c in CATEGORIES]
+    marks = [*(toxic * seeded[:, k] for k in range(len(SEEDS))), toxic]
     weights, n = [], len(vocabulary)
     for k, y in enumerate(marks):
         own = x[:, : n + k]
         # A fit without each fold, and, last, one of all rows.
         w = fit_logistic(own, y, np.hstack([fold[:, None] != np.arange(FOLDS), np.ones((len(y), 1), dtype=bool)]))
-        out = sigmoid((own * w[:-1, fold].T).sum(axis=1) + w[-1, fold])
+        z = np.empty(len(y))
+        for f in range(FOLDS):
+            z[fold == f] = own[fold == f] @ w[:-1, f] + w[-1, f]
+        out = sigmoid(z)
         weights.append(w[:, -1])
         if k < len(CATEGORIES) - 1:
             x[:, n + k] = out
@@ -112,11 +137,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            yield {"id": b["_id"], "toxic": b["toxic"], "words": ["\n".join(sorted(words_in(t))) for t in b["_text"]]}
+            yield {"id": b["_id"], "toxic": b["toxic"], "words": ["\n".join(sorted(set(_words(t.lower())))) for t in b["_text"]]}
 
     sample = map_batches(labelled(docs, labels, ["toxic"], most, id_col, text_col), run, "id long, toxic int, words string")
     rows = sorted(sample.collect())
-    return fit_chain([set(r.words.split("\n")) - {""} for r in rows], np.array([float(r.toxic > 0) for r in rows]), [r.id for r in rows])
+    return fit_chain(Texts([r.words for r in rows]), np.array([float(r.toxic > 0) for r in rows]), [r.id for r in rows])
 
 
 class Scorer:
