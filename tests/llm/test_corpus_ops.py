@@ -284,6 +284,27 @@ def test_lm_equals_dictionaries(spark, docs):
 
 
 
+def test_lm_counts_are_exact(spark, docs, monkeypatch):
+    """Every count is the count by brute force, over many chunks and parts."""
+    monkeypatch.setattr(lm_score, "CHUNK", 5000, raising=False)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    df = docs.select("doc_id", "text").repartition(3)
+    words, models = lm_score.fit(df, labels)
+    x = {i: ["", *(t or "").lower().split(), ""] for i, t in df.collect()}
+    target = {r.doc_id for r in labels.collect()} & set(x)
+    for m, name in enumerate(("loss_background", "loss_target")):
+        some = target if m else set(x)
+        one, two = Counter(w for i in some for w in x[i][1:]), Counter(p for i in some for p in zip(x[i], x[i][1:]))
+        for r in lm_score.score(df, labels, words, models).collect():
+            own, held = x[r.doc_id], r.doc_id in some
+            own1, own2 = (Counter(own[1:]), Counter(zip(own, own[1:]))) if held else (Counter(), Counter())
+            n, loss = sum(one.values()) - sum(own1.values()), 0.0
+            for a, b in zip(own, own[1:]):
+                pair = (two[a, b] - own2[a, b]) / max(one[a] - own1[a], 1)
+                loss -= np.log(lm_score.BIGRAM * pair + (1 - lm_score.BIGRAM) * (one[b] - own1[b] + lm_score.ADDED) / (n + lm_score.ADDED * (len(words) + 2)))
+            assert r[name] == pytest.approx(loss / (len(own) - 1), abs=1e-9)
+
+
 def test_lm_prefers_the_target(spark):
     r = random.Random(4)
     text = lambda words: " ".join(r.choice(words) for _ in range(60))

@@ -9,13 +9,11 @@ Vocabulary: words (lower-cased, split at white space) that make up at least one
 ``VOCABULARY`` (2**18) tokens of the corpus, so at most that many at any size; other words
 share one unknown token.  Text ends are a token too, so an empty text has one token, its end.
 
-Counts: every task counts its texts.  Words go through one aggregation by word.  Bigrams
-are counted in ``ROWS`` rows of ``CELLS`` (2**20) cells by as many hashes, the same for both
-models; a bigram's count is the least of its cells less what a cell gets on average, so
-bigrams that make up about one in CELLS tokens or more are told apart at any size.  Each
-task sends its cells in blocks, which are added up where they meet, in a stream.  What is gathered thus grows with
-the tasks, and what the scoring tasks get is bounded: for both models ROWS * CELLS
-four-byte counts of bigrams (16 MB in all) and VOCABULARY counts of words.
+Counts: words and bigrams are counted exactly, by 64-bit hashes.  Texts are taken in chunks
+of about ``CHUNK`` tokens.  A chunk's distinct words and bigrams go, with their counts, to
+the parts of the range of hashes; a part adds up the counts of all chunks and answers each
+chunk with the sums of what it asked for.  Within a chunk a common bigram is one entry, so
+no key is hot.  No task holds more than a chunk or a part, and the driver only totals.
 
 A row is target if its id is marked by any label row; null ids never are.  Repeated rows
 count and are scored each.
@@ -24,22 +22,26 @@ count and are scored each.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._frames import discard, map_batches, stored, text_or_empty
 from ._words import mix64, words_of
 
-VOCABULARY, CELLS, ROWS, BLOCK = 1 << 18, 1 << 20, 2, 1 << 16
+VOCABULARY, CHUNK = 1 << 18, 1 << 19
+#: Numbers of the unknown token and of text ends in every chunk.
 UNKNOWN, END = 0, 1
 #: Weight of bigrams in the interpolation, and added count of each word.
 BIGRAM, ADDED = 0.6, 0.5
 #: Distinct words that a task counts before it sends them on.
 HELD_WORDS = 200_000
-#: Tasks whose blocks meet in one task at most; with more, blocks are first added up in groups.
-MOST_TASKS = 500
+
+_SINGLE, _FIRST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -56,26 +58,31 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     return map_batches(df.select(text_or_empty(text_col).alias("_text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Ids(dict):
-    """word -> number; words that aren't in the vocabulary are UNKNOWN and not kept."""
+class Numbers(dict):
+    """word -> number within a chunk, given on demand; words that aren't in the vocabulary are UNKNOWN."""
+
+    def __init__(self, vocabulary: frozenset):
+        # No word is empty or has a space.
+        super().__init__({"": UNKNOWN, " ": END})
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
-        return UNKNOWN
+        if word not in self.vocabulary:
+            return UNKNOWN
+        n = self[word] = len(self)
+        return n
 
+    def hashes(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self), dtype=np.uint64, count=len(self))
 
-def numbers(text: str, ids: Ids) -> np.ndarray:
-    """Numbers of a text's tokens, with an end before and after."""
-    words = words_of(text)
-    out = np.empty(len(words) + 2, dtype=np.int64)
-    out[0] = out[-1] = END
-    out[1:-1] = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-    return out
 
+def pack(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second and so on, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
-def cells(tokens: np.ndarray) -> np.ndarray:
-    """The cell of each bigram in each row: rows by bigrams, numbered through all rows."""
-    h = mix64((tokens[:-1].astype(np.uint64) << np.uint64(32)) | tokens[1:].astype(np.uint64))
-    return np.stack([(h >> np.uint64(20 * r) & np.uint64(CELLS - 1)).astype(np.int64) + r * CELLS for r in range(ROWS)])
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -84,109 +91,169 @@ def _own(x: np.ndarray) -> np.ndarray:
     return n[at]
 
 
-class Models:
-    """Both models: counts of words and of bigram cells, background first."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs = words, pairs
-        self.total = words.sum(axis=1)
-        #: What a cell holds on average.
-        self.noise = self.total / CELLS
-
-    def losses(self, tokens: np.ndarray, target: bool) -> np.ndarray:
-        """Mean loss in nats by token of the background and target models, without the text's own counts."""
-        before, own, c = tokens[:-1], tokens[1:], cells(tokens)
+class Chunk:
+    """Texts one after the other, an end before, between and after them, with their distinct words and bigrams."""
+
+    def __init__(self, tokens: bytes, hashes: bytes):
+        x, own = unpack(tokens, np.uint32).astype(np.int64), unpack(hashes, np.uint64)
+        self.before, self.own, self.words = x[:-1], x[1:], len(own)
+        #: The text of each token but the first end.
+        self.text = np.cumsum(self.before == END) - 1
+        both, self.pair = np.unique(self.before * self.words + self.own, return_inverse=True)
+        a, b = np.divmod(both, self.words)
+        keys = np.concatenate([mix64(own ^ _SINGLE), mix64(mix64(own[a] ^ _FIRST) * np.uint64(3) + own[b])])
+        #: Keys in ascending order; the words' come first before.
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by key in all texts and in the target texts."""
+        y, pairs = target[self.text], len(self.keys) - self.words
+        n = np.concatenate([np.bincount(self.own, minlength=self.words), np.bincount(self.pair, minlength=pairs)])
+        m = np.concatenate([np.bincount(self.own[y], minlength=self.words), np.bincount(self.pair[y], minlength=pairs)])
+        return n[self.order].astype(np.uint32), m[self.order].astype(np.uint32)
+
+    def bounds(self, parts: int) -> list[int]:
+        """Where each part's keys begin, and the end."""
+        return [0, *np.searchsorted(self.keys, np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)).tolist(), len(self.keys)]
+
+    def losses(self, sums: list[np.ndarray], target: np.ndarray, total: list[int], size: int) -> np.ndarray:
+        """Mean losses in nats by token of the background and target models (rows), without each text's own counts."""
+        own_words, own_pairs = _own(self.text * self.words + self.own), _own(self.text * len(self.keys) + self.pair)
         # Contexts are the same tokens as those predicted: the end before a text stands for the end after it.
-        own_before, own_words, own_pairs = _own(before), _own(own), np.stack([_own(x) for x in c])
-        out = np.empty(2)
-        for m, held in enumerate((1, int(target))):
-            n = self.words[m][before] - held * own_before
-            pair = np.minimum((self.pairs[m][c] - held * own_pairs).min(axis=0) - self.noise[m], n) / np.maximum(n, 1)
-            size = self.words.shape[1]
-            single = (self.words[m][own] - held * own_words + ADDED) / (self.total[m] - held * len(own) + ADDED * size)
-            out[m] = -np.log(BIGRAM * np.maximum(pair, 0) + (1 - BIGRAM) * single).mean()
+        own_before = _own(self.text * self.words + self.before)
+        starts = np.flatnonzero(self.before == END)
+        sizes = np.diff([*starts, len(self.own)])
+        out = np.empty((2, len(starts)))
+        for m, held in enumerate((np.ones(len(starts), dtype=np.int64), target.astype(np.int64))):
+            by_key = np.empty(len(self.keys), dtype=np.int64)
+            by_key[self.order] = sums[m].astype(np.int64)
+            mine = held[self.text]
+            n = by_key[self.before] - mine * own_before
+            pair = (by_key[self.words + self.pair] - mine * own_pairs) / np.maximum(n, 1)
+            single = (by_key[self.own] - mine * own_words + ADDED) / (total[m] - mine * sizes[self.text] + ADDED * size)
+            out[m] = np.add.reduceat(-np.log(BIGRAM * pair + (1 - BIGRAM) * single), starts) / sizes if len(starts) else 0
         return out
 
 
-def _sum_blocks(df: DataFrame, kind: type) -> DataFrame:
-    """Add up rows of (block, counts) in a stream; one task holds each block once."""
+def _chunks(df: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """The texts in chunks: chunk, ids, sizes (tokens of each text), tokens (numbers within the chunk), hashes (of the words by number)."""
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
+        first, made = TaskContext.get().partitionId() << 32, 0
+
+        def emit():
+            return {"chunk": [first + made], "ids": [ids], "sizes": [sizes], "tokens": [pack(np.concatenate(tokens).astype(np.uint32))], "hashes": [pack(table.hashes())]}
+
+        ids, sizes, tokens, table, held = [], [], [np.array([END])], Numbers(vocabulary.value), 0
         for b in batches:
-            for k, raw in zip(b["block"], b["counts"]):
-                x = np.frombuffer(raw, dtype=kind)
-                held[k] = held[k] + x if k in held else x.astype(np.int64)
-        yield {"block": list(held), "counts": [x.tobytes() for x in held.values()]}
+            for i, t in zip(b["_id"], b["_text"]):
+                words = words_of(t)
+                ids.append(i)
+                sizes.append(len(words) + 1)
+                tokens.append(np.fromiter(map(table.__getitem__, [*words, " "]), dtype=np.int64, count=len(words) + 1))
+                held += len(words) + 1
+                if held >= CHUNK:
+                    yield emit()
+                    made += 1
+                    ids, sizes, tokens, table, held = [], [], [np.array([END])], Numbers(vocabulary.value), 0
+        if ids:
+            yield emit()
+
+    kind = dict(df.dtypes)[id_col]
+    return map_batches(df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), run, f"chunk long, ids array<{kind}>, sizes array<long>, tokens binary, hashes binary")
+
+
+def _marks(chunks: DataFrame, target: DataFrame) -> DataFrame:
+    """Places of the target texts in each chunk that has any, and their tokens."""
+    ids = target.select(F.col(target.columns[0]).alias("_id")).where("_id is not null").distinct()
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes")).alias("at", "x")).select("chunk", "at", F.col("x.ids").alias("_id"), F.col("x.sizes").alias("size"))
+    # The marks grow with the corpus: they are joined by a shuffle at every size.
+    return rows.join(ids.hint("merge"), "_id").groupBy("chunk").agg(F.collect_list("at").alias("marked"), F.sum("size").alias("size"))
 
-    return map_batches(df.select("block", "counts"), run, "block int, counts binary")
 
+def _target(n: int, marked: list | None) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[marked or []] = True
+    return out
 
-def marked(df: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    ids = target.select(F.col(target.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_target", F.lit(True))
-    # The marks grow with the corpus: they are joined by a shuffle at every size.
-    return df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(ids.hint("merge"), "_id", "left").select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+
+class Models:
+    """The chunks that both models are counted from, the target texts among them, and totals, background first."""
+
+    def __init__(self, texts: DataFrame, chunks: DataFrame, marks: DataFrame, size: int):
+        self.texts, self.chunks, self.marks, self.size = texts, chunks, marks, size
+        counted = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0]
+        self.total = [counted or 0, marks.agg(F.sum("size")).head()[0] or 0]
+        #: What is taken off each bigram's count: nothing, counts are exact.
+        self.noise = np.zeros(2)
 
 
 def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], Models]:
-    """Count both models. ``target``: one column of ids, the target texts."""
+    """The vocabulary and both models. ``target``: one column of ids, the target texts."""
     spark = df.sparkSession
     counts = stored(word_counts(df, text_col), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
     # Bounded: at most VOCABULARY words can each be one of VOCABULARY tokens.
     words = sorted(r.word for r in counts.where(F.col("n") * VOCABULARY >= total).select("word").collect())
     discard(counts)
-    model_words = spark.sparkContext.broadcast(words)
-    size = len(words) + 2
-    parts = -(-2 * size // BLOCK)
+    chunks = stored(_chunks(df, spark.sparkContext.broadcast(frozenset(words)), id_col, text_col), "chunks")
+    return words, Models(df, chunks, stored(_marks(chunks, target), "marks"), len(words) + 2)
 
-    texts = marked(df, target, id_col, text_col).select("_text", "_target")
 
-    def run(batches):
-        # One task's counts fit in four bytes.
-        table, all_cells = Ids((w, i + 2) for i, w in enumerate(model_words.value)), ROWS * CELLS
-        single, pairs = np.zeros(parts * BLOCK, dtype=np.uint32), np.zeros(2 * all_cells, dtype=np.uint32)
+def _sums(models: Models, parts: int) -> DataFrame:
+    """For each chunk and part, the counts in all chunks of the chunk's keys in that part: chunk, part, n, m."""
+
+    def ask(batches):
         for b in batches:
-            for m in range(2):
-                found = [numbers(t, table) for t, y in zip(b["_text"], b["_target"]) if y or not m]
-                if found:
-                    # A text's first token is only context, and its own loss is never asked for.
-                    single[m * size : (m + 1) * size] += np.bincount(np.concatenate([f[1:] for f in found]), minlength=size).astype(np.uint32)
-                    at, n = np.unique(np.concatenate([cells(f).ravel() for f in found]), return_counts=True)
-                    pairs[m * all_cells + at] += n.astype(np.uint32)
-        for first, x in ((0, pairs), (2 * all_cells // BLOCK, single)):
-            blocks = x.reshape(-1, BLOCK)
-            full = np.flatnonzero(blocks.any(axis=1))
-            for at in range(0, len(full), 16):
-                some = full[at : at + 16]
-                yield {"block": [first + int(k) for k in some], "counts": [blocks[k].tobytes() for k in some]}
-
-    made = map_batches(texts, run, "block int, counts binary")
-    n = 2 * ROWS * CELLS // BLOCK + parts
-    tasks, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), np.uint32
-    if tasks > MOST_TASKS:
-        groups = -(-tasks // MOST_TASKS)
-        made = _sum_blocks(made.withColumn("salt", F.spark_partition_id() % groups).repartition(n * groups, "block", "salt"), kind)
-        kind = np.int64
-    whole = _sum_blocks(made.repartition(min(tasks, n), "block"), kind)
-    pairs, single = np.zeros(2 * ROWS * CELLS, dtype=np.float32), np.zeros(parts * BLOCK)
-    for r in whole.toLocalIterator():  # n blocks, a fixed number
-        out, first = (pairs, 0) if r.block < 2 * ROWS * CELLS // BLOCK else (single, 2 * ROWS * CELLS // BLOCK)
-        out[(r.block - first) * BLOCK : (r.block - first + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64)
-    return words, Models(single[: 2 * size].reshape(2, size), pairs.reshape(2, ROWS * CELLS))
+            for chunk, sizes, tokens, hashes, marked in zip(b["chunk"], b["sizes"], b["tokens"], b["hashes"], b["marked"]):
+                c = Chunk(tokens, hashes)
+                at, (n, m) = c.bounds(parts), c.counts(_target(len(sizes), marked))
+                out: dict[str, list] = {k: [] for k in ("chunk", "part", "keys", "n", "m")}
+                for k, (i, j) in enumerate(zip(at, at[1:])):
+                    if i < j:
+                        for name, x in (("chunk", chunk), ("part", k), ("keys", pack(np.diff(c.keys[i:j], prepend=np.uint64(0)))), ("n", pack(n[i:j])), ("m", pack(m[i:j]))):
+                            out[name].append(x)
+                yield out
+
+    def answer(batches):
+        rows = (r for b in batches for r in zip(b["part"], b["chunk"], b["keys"], b["n"], b["m"]))
+        for part, some in groupby(rows, key=lambda r: r[0]):
+            chunks, keys, n, m = [], [], [], []
+            for _, chunk, k, x, y in some:
+                chunks.append(chunk)
+                keys.append(np.cumsum(unpack(k, np.uint64), dtype=np.uint64))
+                n.append(unpack(x, np.uint32))
+                m.append(unpack(y, np.uint32))
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = [np.split(np.bincount(at, np.concatenate(x)).astype(np.uint64)[at], ends) for x in (n, m)]
+            for lo in range(0, len(chunks), 100):
+                hi = lo + 100
+                yield {"chunk": chunks[lo:hi], "part": [part] * len(chunks[lo:hi]), "n": [pack(x) for x in sums[0][lo:hi]], "m": [pack(x) for x in sums[1][lo:hi]]}
+
+    asked = map_batches(models.chunks.drop("ids").join(models.marks.select("chunk", "marked").hint("merge"), "chunk", "left"), ask, "chunk long, part int, keys binary, n binary, m binary")
+    return map_batches(asked.repartition(parts, "part").sortWithinPartitions("part"), answer, "chunk long, part int, n binary, m binary")
 
 
 def score(df: DataFrame, target: DataFrame, words: list[str], models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, loss_background, loss_target and their difference, score, of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast((words, models))
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, loss_background double, loss_target double, score double"
+    """n_tokens, loss_background, loss_target and their difference, score, of every whole text that the models were counted from."""
+    if not df.sameSemantics(models.texts):
+        raise ValueError("score() takes the texts that fit() counted")
+    kind, parts = dict(df.dtypes)[id_col], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, size = models.total, models.size
+    schema = f"{id_col} {kind}, n_tokens long, loss_background double, loss_target double, score double"
 
     def run(batches):
-        own, m = shared.value
-        table = Ids((w, i + 2) for i, w in enumerate(own))
-        for b in batches:
-            tokens = [numbers(t, table) for t in b["_text"]]
-            loss = np.array([m.losses(t, y) for t, y in zip(tokens, b["_target"])])
-            yield {id_col: b["_id"], "n_tokens": [len(t) - 1 for t in tokens], "loss_background": loss[:, 0], "loss_target": loss[:, 1], "score": loss[:, 1] - loss[:, 0]}
-
-    return map_batches(marked(df, target, id_col, text_col), run, schema)
+        rows = (r for b in batches for r in zip(b["chunk"], b["ids"], b["sizes"], b["tokens"], b["hashes"], b["marked"], b["n"], b["m"]))
+        for _, some in groupby(rows, key=lambda r: r[0]):
+            _, ids, sizes, tokens, hashes, marked, _, _ = next(some)
+            answers = [(unpack(r[6], np.uint64), unpack(r[7], np.uint64)) for r in some]
+            loss = Chunk(tokens, hashes).losses([np.concatenate(x) for x in zip(*answers)], _target(len(ids), marked), total, size)
+            for lo in range(0, len(ids), 1000):
+                a, b = loss[:, lo : lo + 1000]
+                yield {id_col: ids[lo : lo + 1000], "n_tokens": sizes[lo : lo + 1000], "loss_background": a, "loss_target": b, "score": b - a}
+
+    asked = models.chunks.join(models.marks.select("chunk", "marked").hint("merge"), "chunk", "left").withColumn("part", F.lit(-1))
+    both = asked.unionByName(_sums(models, parts), allowMissingColumns=True)
+    return map_batches(both.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").select("chunk", "ids", "sizes", "tokens", "hashes", "marked", "n", "m"), run, schema)
