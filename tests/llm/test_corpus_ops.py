@@ -305,6 +305,16 @@ def test_lm_counts_are_exact(spark, docs, monkeypatch):
             assert r[name] == pytest.approx(loss / (len(own) - 1), abs=1e-9)
 
 
+def test_lm_keeps_rare_words(spark):
+    """A word that is rarer than one in 2**18 tokens is still told from another."""
+    df = spark.createDataFrame([(k, "the of " * 15_000) for k in range(20)] + [(100, "zebra quagga"), (101, "zebra quagga"), (102, "ibex okapi"), (103, "ibex okapi")], "doc_id long, text string")
+    target = spark.createDataFrame([(100,), (101,)], "doc_id long")
+    words, models = lm_score.fit(df, target)
+    assert list(words) == sorted(["the", "of", "zebra", "quagga", "ibex", "okapi"]) and models.size == len(words) + 2
+    got = {r.doc_id: r for r in lm_score.score(df, target, words, models).collect()}
+    assert got[100].score < got[102].score - 1 and got[100].score == got[101].score
+
+
 def test_lm_prefers_the_target(spark):
     r = random.Random(4)
     text = lambda words: " ".join(r.choice(words) for _ in range(60))

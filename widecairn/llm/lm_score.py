@@ -5,9 +5,8 @@ the whole corpus: a background model from all texts and a target model from the
 marked as target.  A text's score is the mean, over its tokens, of the target model's
 loss less the background model's: low scores are like the target.
 
-Vocabulary: words (lower-cased, split at white space) that make up at least one of
-``VOCABULARY`` (2**18) tokens of the corpus, so at most that many at any size; other words
-share one unknown token.  Text ends are a token too, so an empty text has one token, its end.
+Vocabulary: every word (lower-cased, split at white space), however rare; one unknown token
+has only its added count.  Text ends are a token too, so an empty text has one token, its end.
 
 Counts: words and bigrams are counted exactly, by 64-bit hashes.  Texts are taken in chunks
 of about ``CHUNK`` tokens.  A chunk's distinct words and bigrams go, with their counts, to
@@ -21,19 +20,24 @@ count and are scored each.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import discard, map_batches, stored, text_or_empty
+from ._frames import map_batches, stored, text_or_empty
 from ._words import mix64, words_of
 
-VOCABULARY, CHUNK = 1 << 18, 1 << 19
+#: A word is in the vocabulary if it makes up one of so many tokens: no word is too rare.
+VOCABULARY = math.inf
+CHUNK = 1 << 20
 #: Numbers of the unknown token and of text ends in every chunk.
 UNKNOWN, END = 0, 1
 #: Weight of bigrams in the interpolation, and added count of each word.
@@ -58,17 +62,32 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     return map_batches(df.select(text_or_empty(text_col).alias("_text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Words:
+    """The vocabulary in ascending order, read from a distributed count when it is asked for."""
+
+    def __init__(self, df: DataFrame, text_col: str, count: int):
+        self.table, self.count = word_counts(df, text_col), count
+
+    def __iter__(self) -> Iterator[str]:
+        return (r.word for r in self.table.select("word").orderBy("word").toLocalIterator())
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+    __hash__ = None
+
+
 class Numbers(dict):
-    """word -> number within a chunk, given on demand; words that aren't in the vocabulary are UNKNOWN."""
+    """word -> number within a chunk, given on demand."""
 
-    def __init__(self, vocabulary: frozenset):
+    def __init__(self):
         # No word is empty or has a space.
         super().__init__({"": UNKNOWN, " ": END})
-        self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
-        if word not in self.vocabulary:
-            return UNKNOWN
         n = self[word] = len(self)
         return n
 
@@ -77,12 +96,14 @@ class Numbers(dict):
 
 
 def pack(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second and so on, which compresses well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """Compressed: the first bytes of all numbers, then the second and so on."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpack(raw: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    plain = pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -136,7 +157,7 @@ class Chunk:
         return out
 
 
-def _chunks(df: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
+def _chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts in chunks: chunk, ids, sizes (tokens of each text), tokens (numbers within the chunk), hashes (of the words by number)."""
 
     def run(batches):
@@ -145,7 +166,7 @@ def _chunks(df: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
         def emit():
             return {"chunk": [first + made], "ids": [ids], "sizes": [sizes], "tokens": [pack(np.concatenate(tokens).astype(np.uint32))], "hashes": [pack(table.hashes())]}
 
-        ids, sizes, tokens, table, held = [], [], [np.array([END])], Numbers(vocabulary.value), 0
+        ids, sizes, tokens, table, held = [], [], [np.array([END])], Numbers(), 0
         for b in batches:
             for i, t in zip(b["_id"], b["_text"]):
                 words = words_of(t)
@@ -156,7 +177,7 @@ def _chunks(df: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
                 if held >= CHUNK:
                     yield emit()
                     made += 1
-                    ids, sizes, tokens, table, held = [], [], [np.array([END])], Numbers(vocabulary.value), 0
+                    ids, sizes, tokens, table, held = [], [], [np.array([END])], Numbers(), 0
         if ids:
             yield emit()
 
@@ -189,16 +210,35 @@ class Models:
         self.noise = np.zeros(2)
 
 
-def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], Models]:
+def _distinct_words(chunks: DataFrame, parts: int) -> int:
+    """Number of distinct words in all chunks, the unknown token and ends among them."""
+
+    def cut(batches):
+        for b in batches:
+            for raw in b["hashes"]:
+                x = np.sort(unpack(raw, np.uint64))
+                at = np.searchsorted(x, np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64))
+                yield {"part": list(range(parts)), "keys": [pack(np.diff(y, prepend=np.uint64(0))) for y in np.split(x, at)]}
+
+    def count(batches):
+        rows = (r for b in batches for r in zip(b["part"], b["keys"]))
+        for _, some in groupby(rows, key=lambda r: r[0]):
+            yield {"n": [len(np.unique(np.concatenate([np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for _, k in some])))]}
+
+    keys = map_batches(chunks.select("hashes"), cut, "part int, keys binary").repartition(parts, "part").sortWithinPartitions("part")
+    return map_batches(keys, count, "n long").agg(F.coalesce(F.sum("n"), F.lit(2))).head()[0]
+
+
+def fit(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Words, Models]:
     """The vocabulary and both models. ``target``: one column of ids, the target texts."""
-    spark = df.sparkSession
-    counts = stored(word_counts(df, text_col), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
-    # Bounded: at most VOCABULARY words can each be one of VOCABULARY tokens.
-    words = sorted(r.word for r in counts.where(F.col("n") * VOCABULARY >= total).select("word").collect())
-    discard(counts)
-    chunks = stored(_chunks(df, spark.sparkContext.broadcast(frozenset(words)), id_col, text_col), "chunks")
-    return words, Models(df, chunks, stored(_marks(chunks, target), "marks"), len(words) + 2)
+    chunks = stored(_chunks(df, id_col, text_col), "chunks")
+    size = _distinct_words(chunks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return Words(df, text_col, size - 2), Models(df, chunks, stored(_marks(chunks, target), "marks"), size)
+
+
+def _dealt(models: Models, parts: int) -> DataFrame:
+    """The chunks with their marks; both uses have the same columns, so that Spark shuffles the chunks once."""
+    return models.chunks.repartition(parts, "chunk").join(models.marks.select("chunk", "marked").hint("merge"), "chunk", "left")
 
 
 def _sums(models: Models, parts: int) -> DataFrame:
@@ -232,11 +272,11 @@ def _sums(models: Models, parts: int) -> DataFrame:
                 hi = lo + 100
                 yield {"chunk": chunks[lo:hi], "part": [part] * len(chunks[lo:hi]), "n": [pack(x) for x in sums[0][lo:hi]], "m": [pack(x) for x in sums[1][lo:hi]]}
 
-    asked = map_batches(models.chunks.drop("ids").join(models.marks.select("chunk", "marked").hint("merge"), "chunk", "left"), ask, "chunk long, part int, keys binary, n binary, m binary")
+    asked = map_batches(_dealt(models, parts), ask, "chunk long, part int, keys binary, n binary, m binary")
     return map_batches(asked.repartition(parts, "part").sortWithinPartitions("part"), answer, "chunk long, part int, n binary, m binary")
 
 
-def score(df: DataFrame, target: DataFrame, words: list[str], models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, target: DataFrame, words: Words, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_tokens, loss_background, loss_target and their difference, score, of every whole text that the models were counted from."""
     if not df.sameSemantics(models.texts):
         raise ValueError("score() takes the texts that fit() counted")
@@ -245,15 +285,14 @@ def score(df: DataFrame, target: DataFrame, words: list[str], models: Models, id
     schema = f"{id_col} {kind}, n_tokens long, loss_background double, loss_target double, score double"
 
     def run(batches):
-        rows = (r for b in batches for r in zip(b["chunk"], b["ids"], b["sizes"], b["tokens"], b["hashes"], b["marked"], b["n"], b["m"]))
-        for _, some in groupby(rows, key=lambda r: r[0]):
-            _, ids, sizes, tokens, hashes, marked, _, _ = next(some)
-            answers = [(unpack(r[6], np.uint64), unpack(r[7], np.uint64)) for r in some]
-            loss = Chunk(tokens, hashes).losses([np.concatenate(x) for x in zip(*answers)], _target(len(ids), marked), total, size)
-            for lo in range(0, len(ids), 1000):
-                a, b = loss[:, lo : lo + 1000]
-                yield {id_col: ids[lo : lo + 1000], "n_tokens": sizes[lo : lo + 1000], "loss_background": a, "loss_target": b, "score": b - a}
-
-    asked = models.chunks.join(models.marks.select("chunk", "marked").hint("merge"), "chunk", "left").withColumn("part", F.lit(-1))
-    both = asked.unionByName(_sums(models, parts), allowMissingColumns=True)
-    return map_batches(both.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").select("chunk", "ids", "sizes", "tokens", "hashes", "marked", "n", "m"), run, schema)
+        for b in batches:
+            for ids, sizes, tokens, hashes, marked, sums in zip(*(b[c] for c in ("ids", "sizes", "tokens", "hashes", "marked", "sums"))):
+                both = [np.concatenate([unpack(x[c], np.uint64) for x in sums]) for c in "nm"]
+                loss = Chunk(tokens, hashes).losses(both, _target(len(ids), marked), total, size)
+                for lo in range(0, len(ids), 1000):
+                    x, y = loss[:, lo : lo + 1000]
+                    yield {id_col: ids[lo : lo + 1000], "n_tokens": sizes[lo : lo + 1000], "loss_background": x, "loss_target": y, "score": y - x}
+
+    sums = _sums(models, parts).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n", "m"))).alias("sums"))
+    # Every chunk has sums; an inner join would put a filter under one of the two shuffles and so make them differ.
+    return map_batches(_dealt(models, parts).join(sums.hint("merge"), "chunk", "left"), run, schema)
