@@ -1,6 +1,7 @@
 """Operators over whole tables against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -108,11 +109,28 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
+    edges += [(3000, 3400), *((k, k - 1) for k in range(3400, 3001, -1))] + [(4000 + k, 4000 + (k + 1) % 100) for k in range(100)]
+    for a, b in edges:
+        root.setdefault(a, a), root.setdefault(b, b)
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_rounds_on_long_chains(spark, monkeypatch):
+    """1 - n, n - n-1, ..., 3 - 2: the smallest number meets the others from the far end."""
+    from widecairn.llm import _components
+
+    rounds = []
+    monkeypatch.setattr(_components, "_star", lambda links, large, f=_components._star: rounds.append(large) or f(links, large))
+    n = 1000
+    chain = spark.createDataFrame([(1, n), *((k, k - 1) for k in range(n, 2, -1))], "a long, b long")
+    assert {r.root for r in connected_components(chain).collect()} == {1}
+    assert sum(rounds) <= 16
+
+
 def brute_classes(rows):
     sets = {}
     for i, t in rows:
@@ -214,31 +232,140 @@ def test_repeated_passages(spark):
 
 
 def test_units_equal_line_by_line():
-    """Keys, places and band keys of many lines at once are those of each line alone."""
+    """Keys, places and band keys of many lines at once are those of each line alone, and windows those of each text alone."""
     r = random.Random(7)
-    texts = [passage(r, 25), "  " + passage(r, 40).replace(" ", "  ", 3) + "\t", f"{passage(r, 5)}\n{passage(r, 90).upper()}\n\n{passage(r, 33)} \u0130x", "", "x " * 100, passage(r, 19)]
+    texts = [passage(r, 25), "  " + passage(r, 40).replace(" ", "  ", 3) + "\t", f"{passage(r, 5)}\n{passage(r, 90).upper()}\n\n{passage(r, 33)} \u0130x", "", "x " * 100, passage(r, 19), "a b " * 60]
     cache, hasher = WordHashes(), MinHasher(14)
     u = substring_dedup.Units(texts, cache)
     want = [(d, *line) for d, t in enumerate(texts) for line in substring_dedup.lines_of(t)]
     assert [(d, a, a + n) for d, a, n in zip(u.doc, u.start, u.size)] == [w[:3] for w in want]
-    bands, k = u.band_keys(hasher, 2), 0
+    bands = u.band_keys(hasher, 2)
+    one = lambda h: substring_dedup.keys_of(h, np.array([0]), np.array([len(h)]))[0]
     for row, (_, _, _, words) in enumerate(want):
-        h = cache.array(words)
-        assert u.keys[row] == substring_dedup.keys_of(h, np.array([len(h)]))[0]
+        assert u.keys[row] == one(cache.array(words))
         assert bands[row].tolist() == band_keys(hasher(shingle_set(" ".join(words), cache)), 2)[0].tolist()
+    found = [(d, s, n, k) for d, s, n, k in zip(u.window_doc.tolist(), u.window_start.tolist(), u.window_size.tolist(), u.window_keys.tolist())]
+    alone = []
     for d, t in enumerate(texts):
-        words = t.lower().split()
-        if len(words) < substring_dedup.LONG_WORDS:
-            continue
-        h = cache.array(words)
-        ends = substring_dedup.cuts(substring_dedup.cut_marks(h).tolist(), 0, len(h))
-        assert ends[-1] == len(h) and max(np.diff([0, *ends])) <= substring_dedup.MOST
-        for first, last in zip([0, *ends[:-1]], ends):
-            s = int(u.piece_start[k])
-            assert u.piece_doc[k] == d and texts[d][s : s + int(u.piece_size[k])].lower().split() == words[first:last]
-            assert u.piece_keys[k] == substring_dedup.keys_of(h[first:last], np.array([last - first]))[0]
-            k += 1
-    assert k == len(u.piece_keys)
+        h = cache.array(t.lower().split())
+        for a, e in zip(*substring_dedup.windows_of(h, np.zeros(len(h), dtype=np.int64))):
+            alone.append((d, int(one(h[a:e]))))
+            assert 20 <= e - a < 28
+    assert [(d, k) for d, _, _, k in sorted(found)] != [] and sorted((d, k) for d, _, _, k in found) == sorted(alone)
+    for d, s, n, k in found:
+        assert k == one(cache.array(texts[d][s : s + n].lower().split()))
+
+
+def test_any_passage_of_50_words_has_a_common_window():
+    r = random.Random(9)
+    cache = WordHashes()
+    for _ in range(400):
+        p = passage(r, 50).split()
+        keys = []
+        for _ in range(2):
+            h = cache.array([*passage(r, r.randint(1, 60)).split(), *p, *passage(r, r.randint(1, 60)).split()])
+            keys.append(set(substring_dedup.keys_of(h, *substring_dedup.windows_of(h, np.zeros(len(h), dtype=np.int64))).tolist()))
+        assert keys[0] & keys[1]
+
+
+def words_at(text):
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", text)]
+
+
+def brute_repeats(rows):
+    """By id: the words that lie in a run of 50 words, and those in a run of 20 or in a similar line of at least 20, that a document with a smaller id holds."""
+    runs: dict[int, dict] = {20: {}, 50: {}}
+    for i, t in sorted(rows):
+        w = [x[2] for x in words_at(t)]
+        for n, first in runs.items():
+            for k in range(len(w) - n + 1):
+                first.setdefault(tuple(w[k : k + n]), i)
+    lines = defaultdict(set)
+    for i, t in rows:
+        for line in t.lower().split("\n"):
+            if len(line.split()) >= 5:
+                lines[tuple(line.split())].add(i)
+    names, shingles, where = list(lines), [], defaultdict(list)
+    for k, w in enumerate(names):
+        shingles.append({w[j : j + 5] for j in range(len(w) - 4)})
+        for g in shingles[-1]:
+            where[g].append(k)
+    root = list(range(len(names)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, s in enumerate(shingles):
+        for j in {j for g in s for j in where[g] if j < k}:
+            if len(s & shingles[j]) >= 0.8 * len(s | shingles[j]):
+                a, b = find(k), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for k, w in enumerate(names):
+        least[find(k)] = min(least.get(find(k), 1 << 62), *lines[w])
+    keeper = {w: least[find(k)] for k, w in enumerate(names)}
+    must, may = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        w = [x[2] for x in words_at(t)]
+        for n, out in ((50, must), (20, may)):
+            for k in range(len(w) - n + 1):
+                if runs[n][tuple(w[k : k + n])] < i:
+                    out[i].update(range(k, k + n))
+        at = 0
+        for line in t.lower().split("\n"):
+            n = tuple(line.split())
+            if len(n) >= 20 and keeper[n] < i:
+                may[i].update(range(at, at + len(n)))
+                must[i].update(range(at, at + len(n)))
+            at += len(n)
+    return must, may
+
+
+def test_removals_against_brute_force(spark, docs):
+    """Nothing goes that isn't a similar line or within a run of 20 words of another document; every repeated run of 50 words is met."""
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    must, may = brute_repeats(rows)
+    whole = total = 0
+    for x in substring_dedup.repeated_spans(docs).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in x.removed_spans.split(",") if s]
+        gone = {k for k, (a, e, _) in enumerate(words_at(dict(rows)[x.doc_id])) if any(p <= a and e <= q for p, q in spans)}
+        assert gone <= may[x.doc_id], x.doc_id
+        assert bool(gone) >= bool(must[x.doc_id]), x.doc_id
+        whole += len(gone & must[x.doc_id])
+        total += len(must[x.doc_id])
+    assert total and whole >= 0.9 * total
+
+
+def test_short_phrases_of_many_documents_stay(spark):
+    """A text made of 13-word pieces, each from another document, loses nothing."""
+    r = random.Random(12)
+    pieces = [passage(r, 13) for _ in range(24)]
+    rows = [(k, f"{passage(r, 30)} {p} {passage(r, 30)}") for k, p in enumerate(pieces)] + [(100, " ".join(pieces))]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.n_removed == 0 for x in got)
+
+
+def test_texts_of_one_id_lose_only_what_they_repeat(spark):
+    r = random.Random(13)
+    p, own = passage(r, 60), passage(r, 90)
+    rows = [(1, p), (2, f"{passage(r, 9)} {p}"), (2, own), (2, own), *[(3, f"{passage(r, 30)} {p}")] * 2]
+    df = spark.createDataFrame(rows, "`doc id` long, `a text` string")
+    got = defaultdict(list)
+    for x in substring_dedup.without_repeats(df, "doc id", "a text").collect():
+        got[x["doc id"]].append(x["a text"])
+    assert got[1] == [p] and own in got[2] and len(got[2]) == 3
+    assert sum(p not in t for t in got[2]) == 3 and len(set(got[3])) == 1 and p not in got[3][0]
+
+
+def test_short_repeated_lines_are_reported(spark):
+    r = random.Random(14)
+    line = passage(r, 9)
+    rows = [(k, f"{passage(r, 30)}\n{line}\n{passage(r, 30)}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(x.n_removed, x.n_short) for x in sorted(substring_dedup.repeated_spans(df).collect())] == [(0, 0), (0, 1), (0, 1)]
+    assert [x.n_removed for x in sorted(substring_dedup.repeated_spans(df, removed_words=5).collect())] == [0, 1, 1]
 
 
 # -- language models -----------------------------------------------------------------------------

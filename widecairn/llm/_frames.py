@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,9 +104,11 @@ def map_rows(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], tup
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one is made only where none is set (tests)."""
+    """The folder that the cluster shares. A local one is made only where none is set and all of Spark is this one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="widecairn-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -115,7 +118,11 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and lost executors can't lose it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/widecairn/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        _delete(spark, path)
+        raise
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -124,10 +131,51 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``stored`` wrote and nothing reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, df._stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables of one operator: all are deleted at the end of the block, whether it ends well or not."""
+
+    def __enter__(self) -> Scratch:
+        self.tables: list[DataFrame] = []
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(*self.tables)
+
+    def stored(self, df: DataFrame, name: str = "t") -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+
+def column(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def field(df: DataFrame, name: str) -> str:
+    """A column's name and type, for a schema in words."""
+    return f"{quoted(name)} {df.schema[name].dataType.simpleString()}"
+
+
+def long_id(df: DataFrame, name: str) -> Column:
+    """The id column as long; ids of another kind than integers are refused before any job runs."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"column {name} holds {kind.simpleString()}, ids are integers")
+    return column(name).cast("long")
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+def text_or_empty(col: str = "text") -> Column:
+    return F.coalesce(column(col).cast("string"), F.lit(""))

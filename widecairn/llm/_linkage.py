@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bayes import prune
-from ._frames import discard, map_batches, stored
+from ._frames import Scratch, map_batches
 
 STEP = 30
 #: Sets and shingles of a block, about.
@@ -116,7 +116,7 @@ def decide(key: int, first: int, second: int, texts: list[Text], threshold: floa
     return [(k, n, w, find(k)) for k, (n, w) in count.items()]
 
 
-def linked_sets(reps: DataFrame, members_of: Callable[[DataFrame], DataFrame], threshold: float, tolerance: float) -> DataFrame:
+def linked_sets(reps: DataFrame, members_of: Callable[[DataFrame], DataFrame], threshold: float, tolerance: float, scratch: Scratch) -> DataFrame:
     """Rows (rep, texts, linked, root): numbers of linked sets and of their copies, and the
     smallest set that it is connected with, of each task that found links of the set.
 
@@ -128,7 +128,7 @@ def linked_sets(reps: DataFrame, members_of: Callable[[DataFrame], DataFrame], t
     placed = reps.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     h = F.xxhash64("rep")
     buckets = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("total"), F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2")).where("m > 1")
-    full = stored(placed.select("rep", "band", "key").join(buckets, "key").distinct(), "buckets")
+    full = scratch.stored(placed.select("rep", "band", "key").join(buckets, "key").distinct(), "buckets")
     chosen = full.groupBy("h1", "h2", "m").agg(F.min(F.struct("band", "key")).alias("c")).select(F.col("c.key").alias("key"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     jobs = (
@@ -138,7 +138,7 @@ def linked_sets(reps: DataFrame, members_of: Callable[[DataFrame], DataFrame], t
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "rep", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     )
-    jobs = stored(jobs, "jobs")
+    jobs = scratch.stored(jobs, "jobs")
     wanted = jobs.select("rep").distinct().join(reps.select("rep", "copies"), "rep")
     members = members_of(wanted)
     tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -159,9 +159,7 @@ def linked_sets(reps: DataFrame, members_of: Callable[[DataFrame], DataFrame], t
         if job:
             yield _columns(decide(*job, texts, threshold, tolerance))
 
-    found = stored(map_batches(met, run, "rep long, texts long, linked long, root long"), "found")
-    discard(full, jobs)
-    return found
+    return scratch.stored(map_batches(met, run, "rep long, texts long, linked long, root long"), "found")
 
 
 def _columns(rows: list[tuple]) -> dict:

@@ -20,11 +20,11 @@ share an id share a class.
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._frames import discard, map_batches, stored, text_or_empty
+from ._frames import Scratch, column, long_id, map_batches, stored, text_or_empty
 from ._linkage import linked_sets
 from ._words import MinHasher, WordHashes, band_keys, shingle_set
 
@@ -53,7 +53,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                 out["keys"].append(band_keys(hasher(s), rows)[0] if found else None)
             yield out
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text")), run, "id long, s1 long, s2 long, n int, keys array<long>")
+    return map_batches(df.select(long_id(df, id_col).alias("id"), text_or_empty(text_col).alias("_text")), run, "id long, s1 long, s2 long, n int, keys array<long>")
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -63,47 +63,59 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids whose text reaches the threshold, copies included.  class_id: smallest id that a
     chain of links leads to; a row without links has its own id.
     """
-    marks = stored(signatures(df, id_col, text_col, bands, rows), "marks")
-    ids = marks.where("s1 is not null").select("id", "s1", "s2").distinct()
-    sets = ids.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    by_set = marks.where("s1 is not null").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = stored(sets.join(by_set, ["s1", "s2"]), "reps")
-
-    count = bands * rows
-
-    def members_of(wanted):
-        texts = df.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("_text")).join(wanted, "rep").select("rep", "copies", "_text")
-
-        def shingles(batches):
-            cache, hasher = WordHashes(), MinHasher(count)
-            for b in batches:
-                sets = [shingle_set(t, cache) for t in b["_text"]]
-                signs = [hasher(s) for s in sets]
-                yield {"rep": b["rep"], "copies": b["copies"], "keys": [band_keys(s, rows)[0].tobytes() for s in signs], "signature": [s.tobytes() for s in signs], "shingles": [s.tobytes() for s in sets]}
-
-        return map_batches(texts, shingles, "rep long, copies long, keys binary, signature binary, shingles binary")
-
-    found = linked_sets(reps, members_of, threshold, TOLERANCE)
-    discard(reps)
-    linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    # Texts that share an id belong together too.
-    shared = ids.join(sets, ["s1", "s2"]).groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("lo", "hi")
-    roots = connected_components(found.select("rep", "root").unionByName(shared.toDF("rep", "root")))
-    named = sets.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    # Written, so that the last join shuffles both sides and a large group of copies can be split.
-    named = stored(named.select("s1", "s2", "rep", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")), "named")
-    discard(found)
-    return marks.select("id", "s1", "s2").join(named, ["s1", "s2"], "left").select(
-        F.col("id").cast(dict(df.dtypes)[id_col]).alias(id_col),
-        F.coalesce("root", "id").alias("class_id"),
-        F.coalesce("rep", "id").alias("copy_id"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"),
-        (F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-    )
+    with Scratch() as scratch:
+        marks = scratch.stored(signatures(df, id_col, text_col, bands, rows), "marks")
+        ids = marks.where("s1 is not null").select("id", "s1", "s2").distinct()
+        sets = ids.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+        by_set = marks.where("s1 is not null").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+        reps = scratch.stored(sets.join(by_set, ["s1", "s2"]), "reps")
+
+        count = bands * rows
+
+        def members_of(wanted):
+            texts = df.select(long_id(df, id_col).alias("rep"), text_or_empty(text_col).alias("_text")).join(wanted, "rep").select("rep", "copies", "_text")
+
+            def shingles(batches):
+                cache, hasher = WordHashes(), MinHasher(count)
+                for b in batches:
+                    sets = [shingle_set(t, cache) for t in b["_text"]]
+                    signs = [hasher(s) for s in sets]
+                    yield {"rep": b["rep"], "copies": b["copies"], "keys": [band_keys(s, rows)[0].tobytes() for s in signs], "signature": [s.tobytes() for s in signs], "shingles": [s.tobytes() for s in sets]}
+
+            return map_batches(texts, shingles, "rep long, copies long, keys binary, signature binary, shingles binary")
+
+        found = linked_sets(reps, members_of, threshold, TOLERANCE, scratch)
+        linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+        # Texts that share an id belong together too.
+        shared = ids.join(sets, ["s1", "s2"]).groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("lo", "hi")
+        roots = connected_components(found.select("rep", "root").unionByName(shared.toDF("rep", "root")), scratch)
+        named = sets.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        # Written, so that the last join shuffles both sides and a large group of copies can be split.
+        named = scratch.stored(named.select("s1", "s2", "rep", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")), "named")
+        return stored(
+            marks.select("id", "s1", "s2")
+            .join(named, ["s1", "s2"], "left")
+            .select(
+                F.col("id").cast(df.schema[id_col].dataType).alias(id_col),
+                F.coalesce("root", "id").alias("class_id"),
+                F.coalesce("rep", "id").alias("copy_id"),
+                F.coalesce("copies", F.lit(1)).alias("n_copies"),
+                (F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+            ),
+            "classes",
+        )
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is its class's smallest: one text of each group of similar texts, and all without an id."""
-    classes = similarity_classes(df.select(id_col, text_col), id_col, text_col)
-    dropped = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_dropped"))
-    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")
+    """The rows of ``df`` whose id is its class's smallest, rows with one id and equal words once; all rows without an id stay."""
+    classes = similarity_classes(df.select(column(id_col), column(text_col)), id_col, text_col)
+    own = column(id_col)
+    kept = df.join(classes.where(own != F.col("class_id")).select(own.alias("_dropped")), column(id_col) == F.col("_dropped"), "left_anti")
+    again = classes.where(own == F.col("class_id")).groupBy(own.alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    if not again.limit(1).count():
+        return kept
+    # Few ids have several rows; only these are compared, by their words.
+    words = F.md5(F.regexp_replace(F.trim(F.lower(text_or_empty(text_col))), r"\s+", " "))
+    several = kept.join(again, column(id_col) == F.col("_again"), "left_semi").select(F.struct(*map(column, df.columns)).alias("_row"), own.alias("_id"), words.alias("_words"))
+    first = several.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_words").orderBy("_words"))).where("_rank = 1")
+    return kept.join(again, column(id_col) == F.col("_again"), "left_anti").unionByName(first.select(*[F.col("_row")[c].alias(c) for c in df.columns]))

@@ -1,19 +1,30 @@
 """Substring dedup: paragraphs that recur in other documents, found by MinHash banding.
 
-Paragraphs are the lines of a text.  A line of at least ``MIN_WORDS`` words belongs to a
-cluster with every line whose five-word shingles have a Jaccard similarity of at least
-0.8; bands are tuned for recall (``tune``), colliding lines are verified exactly, and
-clusters are components of the links.  Equal lines are collapsed first.
-
-A passage can also stand inside a longer line, or go over several short ones.  Texts of at
-least ``LONG_WORDS`` words are therefore also cut where their words say so (after two words
-whose hash falls in one of ``CUT`` classes), so that a passage is cut alike wherever it
-stands; equal pieces are one cluster, and neighbouring pieces with at least ``RUN_WORDS``
-words in all count.
-
-The document with a cluster's smallest id keeps its paragraphs, all others' are removed.
-A cluster within one document removes nothing.  Null text counts as empty; rows with a
-null id take no part; rows that share an id are taken for one document.
+Paragraphs are of two kinds.
+
+* The lines of a text of at least ``LINE_WORDS`` words.  Equal lines are collapsed; bands of
+  MinHash values, tuned for recall (``tune``), bring similar lines together; every pair that
+  meets is verified exactly (five-word shingles, Jaccard similarity of at least 0.8), and
+  the clusters are the components of the verified pairs.
+* Windows, for passages within a longer line or over several short ones.  A text's words are
+  marked where the hash of two neighbouring words is the least of ``SPAN`` such hashes in a
+  row; a window goes from a mark to the first mark at least ``WINDOW_WORDS`` words on.
+  Windows of one key have equal words, so their similarity is 1.  Of a passage of
+  4 * SPAN + WINDOW_WORDS - 2 = 50 words at least one window is the same wherever the
+  passage stands, if no three of its words in a row are alike.  A run of one word is cut
+  into windows of WINDOW_WORDS from its start on.
+
+So whatever is removed is a whole paragraph that another document holds, as a similar line
+or as the same run of at least WINDOW_WORDS words; nothing is put together from parts.
+
+The document with a cluster's smallest id keeps its paragraphs, those of all others are
+removed.  A cluster within one document removes nothing.  Lines of fewer than
+``REMOVED_WORDS`` words are mostly headings and notices: their repeats are reported, and
+removed only if asked for.
+
+Null text counts as empty; rows with a null id take no part; an empty table gives no rows.
+Rows that share an id are one document, whose rows each lose what their own text repeats;
+equal rows lose the same.  Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._frames import map_batches, stored, text_or_empty
+from ._frames import Scratch, column, field, long_id, map_batches, quoted, stored, text_or_empty
 from ._linkage import linked_sets
 from ._words import MinHasher, WordHashes, band_keys, mix64, shingle_hashes
 
 THRESHOLD, RECALL, MOST_BANDS = 0.8, 0.999, 8
-MIN_WORDS, RUN_WORDS, LONG_WORDS = 20, 14, 30
-#: One in CUT places ends a piece, if the piece has LEAST words; at MOST words it ends anyway.
-CUT, LEAST, MOST = 6, 3, 40
+LINE_WORDS, REMOVED_WORDS = 5, 20
+SPAN, WINDOW_WORDS = 8, 20
+
+_MASK = (1 << 64) - 1
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -50,53 +65,72 @@ _word = re.compile(r"\S+").finditer
 
 
 def lines_of(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of each line of at least MIN_WORDS words."""
+    """(start, end, lower-cased words) of each line of at least LINE_WORDS words."""
     out, at = [], 0
     for line in text.split("\n"):
         words = line.lower().split()
-        if len(words) >= MIN_WORDS:
+        if len(words) >= LINE_WORDS:
             out.append((at, at + len(line), words))
         at += len(line) + 1
     return out
 
 
-def keys_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One signed 64-bit number for each of the runs of words that follow each other, none of them empty."""
-    if not len(sizes):
+def keys_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One signed 64-bit number for each run of words [start, end): equal runs have equal numbers, wherever they stand."""
+    if not len(starts):
         return np.empty(0, dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    place = (np.arange(len(hashes)) - np.repeat(starts, sizes)).astype(np.uint64)
-    mixed = mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15))
-    return mix64(np.add.reduceat(mixed, starts) + sizes.astype(np.uint64)).view(np.int64)
-
-
-def cut_marks(hashes: np.ndarray) -> np.ndarray:
-    """Places before which a piece may end: after two words whose hash falls in the class."""
-    if len(hashes) < 2:
+    power = np.ones(len(hashes) + 1, dtype=np.uint64)
+    power[1:] = np.cumprod(np.full(len(hashes), _BASE, dtype=np.uint64))
+    back = np.ones(len(hashes) + 1, dtype=np.uint64)
+    back[1:] = np.cumprod(np.full(len(hashes), _INVERSE, dtype=np.uint64))
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(mix64(hashes) * power[:-1], out=total[1:])
+    return mix64((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+
+
+def marks_of(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the marks in the words of some texts that follow each other; ``doc`` is the text of each word."""
+    n = len(hashes) - 1
+    if n < SPAN:
         return np.empty(0, dtype=np.int64)
-    return np.flatnonzero(mix64(hashes[:-1] * np.uint64(3) ^ hashes[1:]) % np.uint64(CUT) == 0) + 2
-
-
-def cuts(marks: list[int], first: int, end: int) -> list[int]:
-    """Ends of the pieces of the words [first, end), given the marks from first + 2 on."""
-    out, last = [], first
-    for m in marks:
-        if m >= end:
-            break
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST:
-            out.append(m)
-            last = m
-    while end - last > MOST:
-        last += MOST
-        out.append(last)
-    return [*out, end]
+    none = np.uint64(_MASK)
+    pair = mix64(hashes[:-1] * np.uint64(3) ^ hashes[1:]) >> np.uint64(1)
+    # In a run of one word no place is better than another.
+    pair[1:][pair[1:] == pair[:-1]] = none
+    rows = np.lib.stride_tricks.sliding_window_view(pair, SPAN)
+    at = rows.argmin(axis=1) + np.arange(len(rows))
+    inside = doc[: len(rows)] == doc[SPAN : SPAN + len(rows)]
+    at = np.unique(at[inside])
+    return at[pair[at] != none]
+
+
+def runs_of(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of pieces of WINDOW_WORDS equal words, from the start of each run of one word on."""
+    n = len(hashes)
+    if not n:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]))
+    pieces = np.diff([*starts, n]) // WINDOW_WORDS
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(starts, pieces) + place * WINDOW_WORDS
+    return first, first + WINDOW_WORDS
+
+
+def windows_of(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of each window, and of each piece of a run of one word."""
+    marks, runs = marks_of(hashes, doc), runs_of(hashes, doc)
+    if not len(marks):
+        return runs
+    to = np.searchsorted(marks, marks + WINDOW_WORDS)
+    first, to = marks[to < len(marks)], to[to < len(marks)]
+    end = marks[to]
+    # Beyond a run of one word there may be no mark for long: such a window isn't settled by its words alone.
+    good = (doc[first] == doc[np.maximum(end - 1, first)]) & (doc[first] == doc[end]) & (end - first < WINDOW_WORDS + SPAN)
+    return np.concatenate([first[good], runs[0]]), np.concatenate([end[good], runs[1]])
 
 
 class Units:
-    """Lines of some texts that are long enough, and the pieces of the texts, as arrays."""
+    """Lines of some texts that are long enough, and the windows of the texts, as arrays."""
 
     def __init__(self, texts: list[str], cache: WordHashes):
         words: list[str] = []
@@ -114,34 +148,20 @@ class Units:
                     count.append(len(own))
                     plain.append(len(low) == len(line))
                 at += len(line) + 1
-        all_doc, all_start, all_size, all_count = (np.array(x, dtype=np.int64) for x in (doc, start, size, count))
-        all_hashes = cache.array(words)
-        unit = all_count >= MIN_WORDS
-        self.doc, self.start, self.size, self.count = all_doc[unit], all_start[unit], all_size[unit], all_count[unit]
-        self.hashes = all_hashes[np.repeat(unit, all_count)]
+        line_doc, line_start, line_size, line_count = (np.array(x, dtype=np.int64) for x in (doc, start, size, count))
+        hashes = cache.array(words)
+        first = np.cumsum(line_count) - line_count
+        unit = line_count >= LINE_WORDS
+        self.doc, self.start, self.size, self.count = line_doc[unit], line_start[unit], line_size[unit], line_count[unit]
+        self.keys = keys_of(hashes, first[unit], first[unit] + self.count)
+        self.hashes = hashes[np.repeat(unit, line_count)]
         self.first = np.cumsum(self.count) - self.count
-        self.keys = keys_of(self.hashes, self.count)
-        begin, end = _places(texts, words, all_doc, all_start, all_size, all_count, np.array(plain, dtype=bool))
-        self._pieces(all_doc, all_count, all_hashes, begin, end)
-
-    def _pieces(self, doc: np.ndarray, count: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Pieces of the texts with enough words, which go on over line ends: text, words, start, size, key."""
-        marks, docs, firsts, lasts, at = cut_marks(hashes), [], [], [], 0
-        taken = np.zeros(len(hashes), dtype=bool)
-        for d, n in enumerate(np.bincount(doc, count).astype(np.int64).tolist() if len(doc) else []):
-            if n >= LONG_WORDS:
-                lo, hi = np.searchsorted(marks, (at + 2, at + n))
-                ends = cuts(marks[lo:hi].tolist(), at, at + n)
-                docs += [d] * len(ends)
-                firsts += [at, *ends[:-1]]
-                lasts += ends
-                taken[at : at + n] = True
-            at += n
-        self.piece_doc, f, e = (np.array(x, dtype=np.int64) for x in (docs, firsts, lasts))
-        self.piece_words = e - f
-        self.piece_start = begin[f] if len(f) else f
-        self.piece_size = end[e - 1] - begin[f] if len(f) else f
-        self.piece_keys = keys_of(hashes[taken], self.piece_words)
+        begin, end = _places(texts, words, line_doc, line_start, line_size, line_count, np.array(plain, dtype=bool))
+        word_doc = np.repeat(line_doc, line_count)
+        f, e = windows_of(hashes, word_doc)
+        self.window_doc, self.window_start = word_doc[f], begin[f]
+        self.window_size = end[e - 1] - begin[f]
+        self.window_keys = keys_of(hashes, f, e)
 
     def band_keys(self, hasher: MinHasher, rows: int) -> np.ndarray:
         """Band keys of every line: rows by bands."""
@@ -180,38 +200,40 @@ WORDS_TOGETHER = 40_000
 
 
 def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Lines (``keys`` not null) and pieces: id, key, start, size, words, keys."""
+    """Lines (``keys`` not null) and windows: id, row, key, start, size, words, keys."""
 
     def run(batches):
         cache, hasher = WordHashes(), MinHasher(bands * rows)
 
-        def emit(ids, texts):
+        def emit(ids, row, texts):
             u = Units(texts, cache)
-            ids = np.array(ids, dtype=np.int64)
+            ids, row = np.array(ids, dtype=np.int64), np.array(row, dtype=np.int64)
             if len(u.doc):
-                yield {"id": ids[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
-            if len(u.piece_doc):
-                yield {"id": ids[u.piece_doc], "key": u.piece_keys, "start": u.piece_start, "size": u.piece_size, "words": u.piece_words, "keys": [None] * len(u.piece_doc)}
+                yield {"id": ids[u.doc], "row": row[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
+            if len(u.window_doc):
+                none = [None] * len(u.window_doc)
+                yield {"id": ids[u.window_doc], "row": row[u.window_doc], "key": u.window_keys, "start": u.window_start, "size": u.window_size, "words": none, "keys": none}
 
         for b in batches:
-            ids, texts, held = [], [], 0
-            for i, t in zip(b["id"], b["_text"]):
+            ids, row, texts, held = [], [], [], 0
+            for i, r, t in zip(b["id"], b["row"], b["_text"]):
                 ids.append(i)
+                row.append(r)
                 texts.append(t)
                 held += len(t) // 6
                 if held >= WORDS_TOGETHER:
-                    yield from emit(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield from emit(ids, row, texts)
+                    ids, row, texts, held = [], [], [], 0
             if ids:
-                yield from emit(ids, texts)
+                yield from emit(ids, row, texts)
 
-    return map_batches(docs, run, "id long, key long, start int, size int, words int, keys array<long>")
+    return map_batches(docs, run, "id long, row long, key long, start int, size int, words int, keys array<long>")
 
 
-def _clusters(docs: DataFrame, units: DataFrame, bands: int, rows: int) -> DataFrame:
+def _clusters(docs: DataFrame, units: DataFrame, bands: int, rows: int, scratch: Scratch) -> DataFrame:
     """(key, keeper) of lines that occur in several documents, alike or nearly: the smallest id of their cluster."""
     lines = units.where("keys is not null").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first(F.col("words") - 4).alias("n"), F.first("keys").alias("keys"))
-    lines = stored(lines.withColumnRenamed("key", "rep").withColumn("copies", F.lit(1).cast("long")), "lines")
+    lines = scratch.stored(lines.withColumnRenamed("key", "rep").withColumn("copies", F.lit(1).cast("long")), "lines")
 
     def members_of(wanted):
         at = wanted.join(lines.select("rep", "lo"), "rep").groupBy("lo").agg(F.collect_list("rep").alias("reps"))
@@ -223,9 +245,11 @@ def _clusters(docs: DataFrame, units: DataFrame, bands: int, rows: int) -> DataF
                 out: dict[str, list] = {c: [] for c in ("rep", "copies", "keys", "signature", "shingles")}
                 for text, reps in zip(b["_text"], b["reps"]):
                     left = set(reps)
-                    hashes = [cache.array(words) for _, _, words in lines_of(text)]
-                    for h in hashes:
-                        if (k := int(keys_of(h, np.array([len(h)]))[0])) in left:
+                    found = [cache.array(words) for _, _, words in lines_of(text)]
+                    ends = np.cumsum([len(h) for h in found], dtype=np.int64)
+                    keys = keys_of(np.concatenate(found), np.append(0, ends[:-1]), ends).tolist() if found else []
+                    for k, h in zip(keys, found):
+                        if k in left:
                             left.discard(k)
                             s = np.unique(shingle_hashes(h))
                             sign = hasher(s)
@@ -238,28 +262,17 @@ def _clusters(docs: DataFrame, units: DataFrame, bands: int, rows: int) -> DataF
 
         return map_batches(texts, run, "rep long, copies long, keys binary, signature binary, shingles binary")
 
-    found = linked_sets(lines.select("rep", "copies", "n", "keys"), members_of, THRESHOLD, 1e-9)
-    roots = connected_components(found.select("rep", "root"))
+    found = linked_sets(lines.select("rep", "copies", "n", "keys"), members_of, THRESHOLD, 1e-9, scratch)
+    roots = connected_components(found.select("rep", "root"), scratch)
     own = lines.select("rep", "lo", "hi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     keepers = own.groupBy("root").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).where("keeper < last").drop("last")
     return own.select("rep", "root").join(keepers, "root").select(F.col("rep").alias("key"), "keeper")
 
 
-def _merge(spans: list) -> list[tuple[int, int, list[int]]]:
-    """Removed spans of a text and whose they are, from repeated lines and runs of repeated pieces."""
-    whole = sorted((s["start"], s["start"] + s["size"], s["keeper"]) for s in spans if s["words"] < 0)
-    pieces = sorted((s["start"], s["start"] + s["size"], s["words"], s["keeper"]) for s in spans if s["words"] >= 0)
-    run: list = []
-    for p in [*pieces, None]:
-        # Neighbouring pieces have only white space between them, which one character mostly is.
-        if run and (p is None or p[0] > run[-1][1] + 4):
-            if sum(x[2] for x in run) >= RUN_WORDS:
-                whole += [(a, b, k) for a, b, _, k in run]
-            run = []
-        if p:
-            run.append(p)
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """Disjoint spans (start, end, keepers) that cover the given (start, end, keeper); neighbours a character apart are one."""
     out: list[tuple[int, int, list[int]]] = []
-    for a, b, k in sorted(whole):
+    for a, b, k in sorted(set(spans)):
         if out and a <= out[-1][1] + 1:
             start, end, ks = out[-1]
             out[-1] = (start, max(end, b), ks if k in ks else [*ks, k])
@@ -268,53 +281,66 @@ def _merge(spans: list) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_removed, removed_chars, removed_spans, keeper_ids.
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(long_id(df, id_col).alias("id"), text_or_empty(text_col).alias("_text")).withColumn("row", F.xxhash64("_text"))
+
+
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_words: int = REMOVED_WORDS, _row: bool = False) -> DataFrame:
+    """One row per row: id, n_removed, removed_chars, removed_spans, keeper_ids, n_short, short_spans.
 
     removed_spans: start:end of each removed span in code points, comma-joined; keeper_ids:
-    the documents that keep a copy, ascending.
+    the documents that keep a copy, ascending; short_spans: repeated lines of fewer than
+    ``removed_words`` words, which stay.
     """
     bands, rows = tune()
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text")).where("id is not null")
-    # One pass over the texts; its result is read for counting and for joining back.
-    units = stored(_units(docs, bands, rows), "units")
-    clusters = _clusters(docs, units, bands, rows)
-    lines = units.where("keys is not null").select("id", "key", "start", "size").join(clusters, "key").where("id > keeper").select("id", "start", "size", F.lit(-1).alias("words"), "keeper")
-    own = units.where("keys is null").drop("keys")
-    common = own.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("key", "keeper")
-    pieces = own.join(common, "key").where("id > keeper").select("id", "start", "size", "words", "keeper")
-    spans = lines.unionByName(pieces).groupBy("id").agg(F.collect_list(F.struct("start", "size", "words", "keeper")).alias("spans"))
+    with Scratch() as scratch:
+        docs = _documents(df, id_col, text_col)
+        # One pass over the texts; its result is read for counting and for joining back.
+        units = scratch.stored(_units(docs.where("id is not null"), bands, rows), "units")
+        clusters = _clusters(docs.where("id is not null"), units, bands, rows, scratch)
+        short = F.col("words") < removed_words
+        lines = units.where("keys is not null").select("id", "row", "key", "start", "size", short.alias("short")).join(clusters, "key").where("id > keeper").select("id", "row", "start", "size", "short", "keeper")
+        own = units.where("keys is null").select("key", "id", "row", "start", "size")
+        common = own.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("key", "keeper")
+        windows = own.join(common, "key").where("id > keeper").select("id", "row", "start", "size", F.lit(False).alias("short"), "keeper")
+        spans = lines.unionByName(windows).groupBy("id", "row").agg(F.collect_set(F.struct("start", "size", "short", "keeper")).alias("spans"))
 
-    def run(batches):
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("n", "chars", "spans", "keepers")}
-            for s in b["spans"]:
-                found = _merge(s or [])
-                out["n"].append(len(found))
-                out["chars"].append(sum(e - a for a, e, _ in found))
-                out["spans"].append(",".join(f"{a}:{e}" for a, e, _ in found))
-                out["keepers"].append(sorted({k for _, _, ks in found for k in ks}))
-            yield {id_col: b["_own"], "n_removed": out["n"], "removed_chars": out["chars"], "removed_spans": out["spans"], "keeper_ids": out["keepers"]}
-
-    rows_ = df.select(F.col(id_col).alias("_own"), F.col(id_col).cast("long").alias("id")).join(spans, "id", "left").select("_own", "spans")
-    return map_batches(rows_, run, f"{id_col} {dict(df.dtypes)[id_col]}, n_removed long, removed_chars long, removed_spans string, keeper_ids array<long>")
-
-
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        def run(batches):
+            for b in batches:
+                out: dict[str, list] = {c: [] for c in ("n", "chars", "spans", "keepers", "n_short", "short")}
+                for spans in b["spans"]:
+                    found = merged([(s["start"], s["start"] + s["size"], s["keeper"]) for s in spans or [] if not s["short"]])
+                    short = merged([(s["start"], s["start"] + s["size"], s["keeper"]) for s in spans or [] if s["short"]])
+                    out["n"].append(len(found))
+                    out["chars"].append(sum(e - a for a, e, _ in found))
+                    out["spans"].append(",".join(f"{a}:{e}" for a, e, _ in found))
+                    out["keepers"].append(sorted({k for _, _, ks in found for k in ks}))
+                    out["n_short"].append(len(short))
+                    out["short"].append(",".join(f"{a}:{e}" for a, e, _ in short))
+                yield {id_col: b["_own"], "_row": b["row"], "n_removed": out["n"], "removed_chars": out["chars"], "removed_spans": out["spans"], "keeper_ids": out["keepers"], "n_short": out["n_short"], "short_spans": out["short"]}
+
+        rows_ = df.select(column(id_col).alias("_own"), long_id(df, id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("row")).join(spans, ["id", "row"], "left").select("_own", "row", "spans")
+        out = map_batches(rows_, run, f"{field(df, id_col)}, _row long, n_removed long, removed_chars long, removed_spans string, keeper_ids array<long>, n_short long, short_spans string")
+        # Written, so that the tables it is made from can go.
+        return stored(out if _row else out.drop("_row"), "spans")
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_words: int = REMOVED_WORDS) -> DataFrame:
     """The id and the text that is left of every row."""
-    found = repeated_spans(df, id_col, text_col).select(F.col(id_col).alias("_id"), "removed_spans").distinct()
-    texts = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(found, "_id", "left")
+    found = repeated_spans(df, id_col, text_col, removed_words, _row=True).where("n_removed > 0").select(column(id_col).alias("id"), F.col("_row").alias("row"), "removed_spans").distinct()
+    texts = _documents(df, id_col, text_col).withColumn("_id", F.col("id").cast(df.schema[id_col].dataType)).join(found, ["id", "row"], "left")
 
     def run(batches):
         for b in batches:
             out = []
             for text, spans in zip(b["_text"], b["removed_spans"]):
                 kept, at = [], 0
-                for s in (spans or "").split(",") if spans else []:
+                for s in spans.split(",") if spans else []:
                     a, e = map(int, s.split(":"))
                     kept.append(text[at:a])
                     at = e
                 out.append("".join([*kept, text[at:]]))
             yield {id_col: b["_id"], text_col: out}
 
-    return map_batches(texts, run, f"{id_col} {dict(df.dtypes)[id_col]}, {text_col} string")
+    return map_batches(texts.select("_id", "_text", "removed_spans"), run, f"{field(df, id_col)}, {quoted(text_col)} string")
+
