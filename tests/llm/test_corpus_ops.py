@@ -485,6 +485,42 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_of_whole_shards(spark):
+    """20,000 vectors without clusters in five shards of the production size, searched with the production width."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(20_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for row in hnsw.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got[row.query_id].add(row.vec_id)
+    y, hit = x.astype(np.float64), 0
+    for q, found in got.items():
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 200 and hit / 2000 >= 0.95
+
+
+def test_ties_of_different_vectors_go_to_smaller_ids(spark):
+    """More vectors at one distance than a search keeps."""
+    rows = [(0, [1.0] * 300)] + [(k, [1.0 + 3.0 * (j == (k * 7) % 300) for j in range(300)]) for k in range(1, 290)] + [(1000 + k, [30.0 + k] * 300) for k in range(20)]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k, k, 3.0) for k in range(1, 11)]
+
+
+def test_graph_links():
+    """No node has more neighbours than its level allows, none is its own, and all are on the level."""
+    r = np.random.default_rng(5)
+    x, level = r.normal(size=(700, 8)), np.minimum((-np.log(r.random(700)) / np.log(4)).astype(int), 4)
+    g = hnsw.Graph.build(x, level, m=6, ef=30)
+    assert len(g.levels) == level.max() + 1
+    for k, (nodes, table) in enumerate(g.levels):
+        assert table.shape[1] == (12 if k == 0 else 6) and set(nodes.tolist()) >= set(np.flatnonzero(level >= k).tolist())
+        for node, js in zip(nodes.tolist(), table):
+            js = js[js >= 0].tolist()
+            assert node not in js and len(set(js)) == len(js) and set(js) <= set(nodes.tolist())
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, []), (None, [1.0, 1.0]), (11, [1.0, 0.0, 0.0]), (200, [0.0, 1.0]), (200, [0.0, 1.0])]
