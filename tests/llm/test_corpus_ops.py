@@ -36,17 +36,15 @@ def test_one_period_is_pfair(weights):
 
 
 def simulated(weights, blocks):
-    """Slot by slot: the released block with the earliest deadline, in phases of the sources left."""
-    had, out = [0] * len(weights), []
+    """Slot by slot: the released block with the earliest deadline; a source whose blocks are used up leaves its slots empty."""
+    had, out, total, t = [0] * len(weights), {}, sum(weights), 0
     while any(h < n for h, n in zip(had, blocks)):
-        left = [s for s in range(len(weights)) if had[s] < blocks[s]]
-        total, begun, t = sum(weights[s] for s in left), list(had), 0
-        while all(had[s] < blocks[s] for s in left):
-            ready = [s for s in left if (had[s] - begun[s]) * total // weights[s] <= t]
-            s = min(ready, key=lambda s: (-(-(had[s] - begun[s] + 1) * total // weights[s]), s))
-            out.append((s, had[s]))
-            had[s] += 1
-            t += 1
+        ready = [s for s in range(len(weights)) if had[s] * total // weights[s] <= t]
+        s = min(ready, key=lambda s: (-(-(had[s] + 1) * total // weights[s]), s))
+        if had[s] < blocks[s]:
+            out[t] = (s, had[s])
+        had[s] += 1
+        t += 1
     return out
 
 
@@ -55,24 +53,54 @@ def test_mix_equals_simulation(spark):
     sizes = {"a": 230, "b": 41, None: 77, "c": 3}
     rows = [(k * 10 + len(rows_), s, "clash") for rows_ in [[]] for s, n in sizes.items() for k in (r.randrange(10**6) for _ in range(n))]
     df = spark.createDataFrame(rows, "doc_id long, source string, _mix string")
-    weights = {"a": 5, "b": 3, None: 2, "c": 1}
-    got = mixing.mix(df.drop("_mix"), weights, block_rows=4).select("doc_id", "source", "_mix.*").toPandas()
+    weights = {"a": 10, "b": 6, None: 4, "c": 2}
+    got = mixing.mix(df, weights, block_rows=4)
+    assert got.columns == ["doc_id", "source", "_mix"]
+    got = got.select("doc_id", "source", "_mix.*").toPandas()
     names = sorted(sizes, key=lambda s: (s is not None, s or ""))
-    want = simulated([weights[s] for s in names], [-(-sizes[s] // 4) for s in names])
-    blocks = got.groupby("slot").agg(source=("source", "first"), block=("block", "first"), n=("source", lambda x: len(set(map(str, x)))))
-    assert [(names.index(None if s != s or s is None else s), b) for s, b in zip(blocks.source, blocks.block)] == want
-    assert (blocks.n == 1).all() and list(blocks.index) == list(range(len(want)))
+    want = simulated([weights[s] // 2 for s in names], [-(-sizes[s] // 4) for s in names])
+    blocks = got.groupby("slot").agg(source=("source", "first"), block=("block", "first"), n=("source", lambda x: len(set(map(str, x)))), release=("release", "first"), deadline=("deadline", "first"))
+    assert {t: (names.index(None if s != s or s is None else s), b) for t, s, b in zip(blocks.index, blocks.source, blocks.block)} == want
+    assert (blocks.n == 1).all() and (blocks.release <= blocks.index).all() and (blocks.index < blocks.deadline).all()
     assert got.position.is_unique and len(got) == len(rows)
     assert Counter(map(str, got.source.where(got.source.notna(), None))) == Counter(str(s) for s, n in sizes.items() for _ in range(n))
 
 
+def test_mix_of_many_sources(spark):
+    """10,000 sources, and weights with a sum far beyond a period."""
+    import time
+
+    df = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', cast(floor(sqrt(id * 3333)) AS string)) AS source")
+    n = df.select("source").distinct().count()
+    began = time.perf_counter()
+    got = mixing.mix(df, keep=False).select("source", "_mix.*").toPandas()
+    assert n > 8_000 and time.perf_counter() - began < 60
+    assert len(got) == 30_000 and got.position.is_unique and (got.release <= got.slot).all() and (got.slot < got.deadline).all()
+    few = spark.range(300).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS source")
+    got = mixing.mix(few, {"a": 10**12, "b": 2 * 10**12 + 1}, keep=False).select("source", "_mix.*").toPandas()
+    assert got.position.is_unique and len(got) == 300
+    assert abs((got[got.slot < 30].source == "a").sum() - 80) <= 8
+
+
+def test_mix_over_groups_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "GROUP_BUCKETS", 4)
+    monkeypatch.setattr(mixing, "SENT_SLOTS", 0)
+    df = spark.range(500).selectExpr("IF(id % 5 = 0, NULL, id) AS doc_id", "IF(id % 4 = 0, 'x', 'y') AS source", "id AS other")
+    got = mixing.mix(df).select("source", "other", "_mix.*").toPandas()
+    assert sorted(got.other) == list(range(500)) and got.position.is_unique
+    for s, n in (("x", 125), ("y", 375)):
+        own = got[got.source == s]
+        assert Counter(own.block) == Counter(k // 8 for k in range(n))
+
+
 def test_mix_odd_tables(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
-    same = spark.createDataFrame([(None, None, None), (1, "a", "t"), (1, "a", "t"), (None, "a", "")], "doc_id long, source string, text string")
+    same = spark.createDataFrame([(None, None, None), (1, "a", "t"), (1, "a", "t" * 3_000_000), (None, "a", "")], "doc_id long, source string, text string")
     got = mixing.mix(same)
     assert got.columns == ["doc_id", "source", "text", "_mix"] and got.select("_mix.position").distinct().count() == 4
     with pytest.raises(ValueError):
-        mixing.mix(docs, {"src0": 10**6})
+        mixing.mix(docs, {"src0": -1})
     ordered = mixing.written_order(mixing.mix(docs), docs.columns)
     assert ordered.columns == docs.columns and ordered.count() == docs.count()
 

@@ -1,38 +1,48 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Rows of a source, in a seeded order, form blocks.  With integer weights a_s and their sum
-D, block i (from 1) of source s may be placed from slot floor((i - 1) D / a_s) on, its
-release, and must be placed before slot ceil(i D / a_s), its deadline.  Each slot takes
-the released block with the earliest deadline (ties: the source that comes first).  The
-weights fill every slot exactly, so all deadlines are met, and after t slots each source
-has had t a_s / D blocks to within less than one.
-
-The schedule repeats after D slots, where every source is exactly at its share, so one
-period is computed and a block's slot follows from its number by arithmetic.  A source
-whose blocks are used up leaves, and the others go on at their weights (a new phase whose
-slots count from 0), until all rows are placed: none is dropped or repeated.
-
-Nothing on the driver grows with the rows: it gets one count per source, and a period is
-at most PERIOD slots.  Rows are numbered within a source without one task holding the
-source: they fall into buckets by a hash of the id, as many as the source needs; buckets
-are counted, counts are summed along, and rows are numbered within their bucket.
+D, block k (from 0) of source s is released at slot floor(k D / a_s) and must be placed
+before slot ceil((k + 1) D / a_s), its deadline.  Each slot takes the released block with
+the earliest deadline (ties: the source that comes first).  The weights fill every slot
+exactly, so all deadlines are met, and after t slots each source that still has blocks has
+had t a_s / D of them to within less than one.
+
+The schedule repeats after D slots, where every source is exactly at its share: one period
+is computed, in D log(sources) steps, and a block's slot follows from its number by
+arithmetic.  The slots of a source whose blocks are used up stay empty: the others go on
+side by side at their weights, until all rows are placed.  None is dropped or repeated.
+
+The driver holds one count per source and one period, nothing that grows with the rows;
+the period is a table that blocks are joined with.  Rows are numbered within a source
+without one task holding the source: they fall into buckets by a hash of the id, as many
+as the source needs; buckets are counted, counts are summed along within groups of
+buckets, and groups along the source; rows are numbered within their bucket.
 
 A null source is a source of its own.  Ties and repeated rows get numbers in hash order
-of the row's id, then in any order.  An empty table gives an empty result.
+of the row's id, then in any order; rows with a null id fall into buckets by a hash of
+all they hold.
+Texts of any length and other columns only pass.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from heapq import heapify, heappop, heappush
+from math import gcd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most slots of a period (the sum of integer weights), most sources, and rows of a bucket, about.
-#: The table of slots that tasks get has at most PERIOD * SOURCES four-byte numbers: 16 MB.
-PERIOD, SOURCES, BUCKET_ROWS = 4_000, 1_000, 100
-BLOCK_ROWS = 8
+from ._frames import column
+
+#: Rows of a block, rows of a bucket, about, and buckets of a group.
+BLOCK_ROWS, BUCKET_ROWS, GROUP_BUCKETS = 8, 100, 10_000
+#: Slots of a period per source if weights are made from counts, and in all at least.
+SLOTS_PER_SOURCE, LEAST_SLOTS = 20, 1000
+#: Given weights are exact up to this sum, or so many per source if that is more; beyond it they are scaled to it.
+EXACT_SLOTS, EXACT_PER_SOURCE = 1 << 20, 64
+#: Slots of a period that go to every task; a longer one is joined by a shuffle.
+SENT_SLOTS = 1 << 18
 
 
 def period(weights: list[int]) -> list[int]:
@@ -53,104 +63,78 @@ def period(weights: list[int]) -> list[int]:
     return out
 
 
-def phases(weights: list[int], blocks: list[int]) -> list[dict]:
-    """Phases until all blocks are placed.
-
-    Each has its first slot, the period's sum, the weights of the sources still there, the
-    blocks that each had before, and the slots in a period of each.
-    """
-    had, start, out = [0] * len(blocks), 0, []
-    while True:
-        left = [a if n > h else 0 for a, n, h in zip(weights, blocks, had)]
-        total = sum(left)
-        if not total:
-            return out
-        slots: list[list[int]] = [[] for _ in left]
-        for t, s in enumerate(period(left)):
-            slots[s].append(t)
-        ends = []
-        for s, a in enumerate(left):
-            if a:
-                p, i = divmod(blocks[s] - had[s] - 1, a)
-                ends.append(p * total + slots[s][i] + 1)
-        length = min(ends)
-        out.append({"start": start, "total": total, "weights": left, "had": list(had), "slots": slots})
-        full, rest = divmod(length, total)
-        for s, a in enumerate(left):
-            had[s] += full * a + sum(t < rest for t in slots[s])
-        start += length
-
-
-def smoothed_weights(counts: Mapping[str | None, int], power: float = 0.5, total: int = 1000) -> dict[str | None, int]:
+def smoothed_weights(counts: Mapping[str | None, int], power: float = 0.5, total: int | None = None) -> dict[str | None, int]:
     """Target weights in proportion to a power of each source's rows, as integers of at least 1."""
     parts = {s: n**power for s, n in counts.items()}
-    whole = sum(parts.values())
+    whole, total = sum(parts.values()), total or max(LEAST_SLOTS, SLOTS_PER_SOURCE * len(counts))
     return {s: max(1, int(total * p / whole + 0.5)) for s, p in parts.items()}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, seed: int = 0, keep: bool = True) -> DataFrame:
+def reduced(weights: list[int]) -> list[int]:
+    """The weights by their greatest common divisor, scaled if their sum is beyond EXACT_SLOTS."""
+    weights = [a // gcd(*weights) for a in weights]
+    total, most = sum(weights), max(EXACT_SLOTS, EXACT_PER_SOURCE * len(weights))
+    return weights if total <= most else [max(1, round(a * most / total)) for a in weights]
+
+
+def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, seed: int = 0, keep: bool = True, place_col: str = "_mix") -> DataFrame:
     """The rows with their place in the mixture.
 
-    ``weights`` are positive integers by source with a sum of at most PERIOD; sources
-    without one get 1; None takes ``smoothed_weights`` of the counts.  Returns all columns
-    of ``df`` (only id and source unless ``keep``) and struct _mix(phase int, block long, within the
-    source, release, deadline, slot long, position long).  Release and deadline count
-    from the phase's first slot, slot from the first of all; position = slot * block_rows +
-    place in the block is distinct for every row and has gaps after a source's last block.
+    ``weights`` are positive integers by source; sources without one get 1; None takes
+    ``smoothed_weights`` of the counts.  Returns all columns of ``df`` (only id and source
+    unless ``keep``) and struct ``place_col`` (block long, within the source, release long,
+    deadline long, slot long, position long), in place of a column of that name;
+    position = slot * block_rows + place in the block is distinct for every row and has gaps
+    where a source's rows are used up.
     """
     spark = df.sparkSession
-    tagged = df.select(F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_s"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if keep else []))
-    counts = {(r._s[1:] if r._s else None): r.n for r in tagged.groupBy("_s").agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()}
-    if len(counts) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+    source = F.coalesce(F.concat(F.lit("="), column(source_col).cast("string")), F.lit(""))
+    passed = [c for c in df.columns if c != place_col] if keep else []
+    # What rows without an id are spread by.
+    anything = F.xxhash64(*[column(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()])
+    tagged = df.select(column(id_col).alias("_id"), source.alias("_s"), F.when(column(id_col).isNull(), anything).alias("_any"), *([F.struct(*map(column, passed)).alias("_row")] if keep else []))
+    counts = {(r._s[1:] if r._s else None): r.n for r in tagged.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts, key=lambda s: (s is not None, s or ""))
     given = smoothed_weights(counts) if weights is None else weights
     a = [int(given.get(s, 1)) for s in names]
-    if min(a, default=1) < 1 or sum(a) > PERIOD:
-        raise ValueError(f"weights are positive integers with a sum of at most {PERIOD}")
-    plan = phases(a, [-(-counts[s] // block_rows) for s in names])
-
-    # Number the rows of each source.
-    if not counts:
-        buckets = F.lit(1)
-    else:
-        buckets = F.element_at(F.create_map(*[F.lit(x) for s, n in counts.items() for x in ("" if s is None else f"={s}", -(-n // BUCKET_ROWS))]), F.col("_s"))
+    if min(a, default=1) < 1:
+        raise ValueError("weights are positive integers")
+    a = reduced(a) if a else a
+    total, seen, slots = sum(a), [0] * len(a), []
+    for t, s in enumerate(period(a)):
+        slots.append((s, seen[s], t))
+        seen[s] += 1
+    sources = spark.createDataFrame([("" if s is None else f"={s}", k, -(-counts[s] // BUCKET_ROWS), w) for k, (s, w) in enumerate(zip(names, a))], "_s string, _k int, _buckets long, _w long")
+    cycle = spark.createDataFrame(slots, "_k int, _i long, _t long")
+    small = F.broadcast if total <= SENT_SLOTS else lambda t: t
+
+    # Number the rows of each source: by bucket, by group of buckets, and along the groups.
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    tagged = tagged.withColumn("_h", order).withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), buckets.cast("long")))
-    by = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per source and bucket; the running sum of one source stays small: rows / BUCKET_ROWS.
-    before = tagged.groupBy("_s", "_b").agg(F.count("*").alias("n")).select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("n").over(by), F.lit(0)).alias("_before"))
-    numbered = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id"))).join(before, (F.col("_s") == F.col("_s2")) & (F.col("_b") == F.col("_b2"))).withColumn("_k", F.col("_before") + F.col("_n") - 1)
-
-    # A block's slot: one row per source and phase, and one per slot of a phase's period.
-    steps, cells = [], []
-    for p, x in enumerate(plan):
-        for s, w in enumerate(x["weights"]):
-            if w:
-                later = [y["had"][s] for y in plan[p + 1 :] if y["weights"][s]]
-                steps.append(("" if names[s] is None else f"={names[s]}", x["had"][s], later[0] if later else 1 << 62, p, x["start"], x["total"], w, x["slots"][s]))
-    table = spark.createDataFrame(steps, "_s3 string, lo long, hi long, phase int, start long, total long, w long, slots array<int>")
-    block = F.floor(F.col("_k") / block_rows).cast("long")
-    i = F.col("_i")
-    placed = (
-        numbered.withColumn("_block", block)
-        .join(F.broadcast(table), (F.col("_s") == F.col("_s3")) & (F.col("_block") >= F.col("lo")) & (F.col("_block") < F.col("hi")))
-        .withColumn("_i", F.col("_block") - F.col("lo"))
-    )
-    slot = F.col("start") + F.expr("_i div w") * F.col("total") + F.element_at("slots", (F.expr("_i % w") + 1).cast("int"))
-    mixed = F.struct(
-        F.col("phase"),
+    spread = F.when(F.col("_id").isNull(), F.col("_any")).otherwise(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"))
+    tagged = tagged.join(small(sources), "_s").withColumn("_h", order).withColumn("_b", F.pmod(spread, F.col("_buckets"))).drop("_any")
+    sizes = tagged.groupBy("_k", "_b").agg(F.count("*").alias("n")).withColumn("_g", F.expr(f"_b div {GROUP_BUCKETS}"))
+    so_far = F.coalesce(F.sum("n").over(Window.partitionBy("_k", "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("_k", "_g").agg(F.sum("n").alias("n"))
+    groups = groups.select("_k", "_g", F.coalesce(F.sum("n").over(Window.partitionBy("_k").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    before = sizes.withColumn("_before", so_far).join(groups, ["_k", "_g"]).select("_k", "_b", (F.col("_before") + F.col("_start")).alias("_before"))
+    numbered = tagged.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_b").orderBy("_h", "_id"))).join(before, ["_k", "_b"]).withColumn("_n", F.col("_before") + F.col("_n") - 1)
+
+    # A block's slot: its number within the period from the table, the period's by arithmetic.
+    placed = numbered.withColumn("_block", F.expr(f"_n div {block_rows}")).withColumn("_i", F.expr("_block % _w")).join(small(cycle), ["_k", "_i"])
+    slot = F.expr(f"_block div _w * {total}") + F.col("_t")
+    place = F.struct(
         F.col("_block").alias("block"),
-        F.expr("(_i * total) div w").alias("release"),
-        F.expr("((_i + 1) * total + w - 1) div w").alias("deadline"),
+        F.expr(f"(_block * {total}) div _w").alias("release"),
+        F.expr(f"((_block + 1) * {total} + _w - 1) div _w").alias("deadline"),
         slot.alias("slot"),
-        (slot * block_rows + F.col("_k") % block_rows).alias("position"),
-    ).alias("_mix")
-    columns = [F.col("_row")[c].alias(c) for c in df.columns] if keep else [F.col("_id").alias(id_col), F.expr("if(_s = '', null, substring(_s, 2))").alias(source_col)]
-    return placed.select(*columns, mixed)
+        (slot * block_rows + F.col("_n") % block_rows).alias("position"),
+    ).alias(place_col)
+    columns = [F.col("_row")[c].alias(c) for c in passed] if keep else [F.col("_id").alias(id_col), F.expr("if(_s = '', null, substring(_s, 2))").alias(source_col)]
+    return placed.select(*columns, place)
 
 
-def written_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def written_order(mixed: DataFrame, columns: list[str], place_col: str = "_mix") -> DataFrame:
     """The columns in the mixture's order, over partitions by position, ready to be written."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, F.col("_mix.position")).sortWithinPartitions(F.col("_mix.position")).select(*[F.col(f"`{c}`") for c in columns])
+    position = column(place_col)["position"]
+    return mixed.repartitionByRange(parts, position).sortWithinPartitions(position).select(*map(column, columns))

@@ -132,34 +132,28 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, v
 FROM d QUALIFY rank <= 10
 """
 
-#: The mixture slot by slot: of the sources whose next block is released, the one with the earliest deadline.
+#: One period slot by slot: of the sources whose next block is released, the one with the earliest deadline; then all blocks by arithmetic.
 MIXING_SQL = """
 WITH RECURSIVE counts AS (
   SELECT source, count(*) AS n, sqrt(count(*)) AS p FROM documents GROUP BY source
-), src AS (
-  SELECT source, n, CAST(greatest(1, floor(1000 * p / (SELECT sum(p) FROM counts) + 0.5)) AS BIGINT) AS a, CAST(ceil(n / 8.0) AS BIGINT) AS blocks,
+), given AS (
+  SELECT source, n, CAST(greatest(1, floor((SELECT greatest(1000, 20 * count(*)) FROM counts) * p / (SELECT sum(p) FROM counts) + 0.5)) AS BIGINT) AS a,
     CAST(row_number() OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS s FROM counts
-), lists AS (SELECT list(a ORDER BY s) AS a, list(blocks ORDER BY s) AS blocks FROM src),
-start_of AS (SELECT a, blocks, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS zero, list_sum(blocks) AS total FROM lists),
-walk(slot, phase, t, d, had, begun, s, k, release, deadline) AS (
-  SELECT CAST(-1 AS BIGINT), CAST(0 AS INTEGER), CAST(0 AS BIGINT), CAST(list_sum(a) AS BIGINT), zero, zero, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM start_of
+), src AS (SELECT source, n, s, a // (SELECT list_reduce(list(a), lambda x, y: gcd(x, y)) FROM given) AS a FROM given),
+lists AS (SELECT list(a ORDER BY s) AS a, CAST(sum(a) AS BIGINT) AS d FROM src),
+walk(t, had, s, i) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM lists
   UNION ALL
-  SELECT slot + 1, CAST(CASE WHEN ends THEN phase + 1 ELSE phase END AS INTEGER), CASE WHEN ends THEN 0 ELSE t + 1 END,
-    CASE WHEN ends THEN CAST(list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN new_had[i] < blocks[i] THEN a[i] ELSE 0 END)) AS BIGINT) ELSE d END,
-    new_had, CASE WHEN ends THEN new_had ELSE begun END, pick, had[pick], rel, dead
-  FROM (
-    SELECT *, new_had[pick] >= blocks[pick] AS ends, CAST(((had[pick] - begun[pick]) * d) // a[pick] AS BIGINT) AS rel, CAST(((had[pick] - begun[pick] + 1) * d + a[pick] - 1) // a[pick] AS BIGINT) AS dead FROM (
-      SELECT *, list_transform(had, lambda h, i: CASE WHEN i = pick THEN h + 1 ELSE h END) AS new_had FROM (
-        SELECT w.*, z.a, z.blocks, list_min(list_transform(list_filter(range(1, len(z.a) + 1), lambda i: w.had[i] < z.blocks[i] AND ((w.had[i] - w.begun[i]) * w.d) // z.a[i] <= w.t),
-          lambda i: {'d': ((w.had[i] - w.begun[i] + 1) * w.d + z.a[i] - 1) // z.a[i], 'i': CAST(i AS BIGINT)})).i AS pick
-        FROM walk w, start_of z WHERE w.slot + 1 < z.total)))
-), placed AS (SELECT slot, s, k AS block, release, deadline, lag(phase, 1, 0) OVER (ORDER BY slot) AS phase FROM walk),
-numbered AS (
-  SELECT doc_id, d.source, src.s, row_number() OVER (PARTITION BY d.source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % CAST(ceil(src.n / 100.0) AS BIGINT), h, doc_id) - 1 AS n
+  SELECT t + 1, list_transform(had, lambda h, k: CASE WHEN k = pick THEN h + 1 ELSE h END), pick, had[pick] FROM (
+    SELECT w.t, w.had, list_min(list_transform(list_filter(range(1, len(z.a) + 1), lambda k: (w.had[k] * z.d) // z.a[k] <= w.t + 1),
+      lambda k: {'d': ((w.had[k] + 1) * z.d + z.a[k] - 1) // z.a[k], 'k': CAST(k AS BIGINT)})).k AS pick
+    FROM walk w, lists z WHERE w.t + 1 < z.d)
+), numbered AS (
+  SELECT doc_id, d.source, src.s, src.a, row_number() OVER (PARTITION BY d.source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % CAST(ceil(src.n / 100.0) AS BIGINT), h, doc_id) - 1 AS n
   FROM (SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents) d JOIN src ON src.source IS NOT DISTINCT FROM d.source
-)
-SELECT doc_id, source, CAST(phase AS INTEGER) AS phase, block, release, deadline, slot, slot * 8 + n % 8 AS position
-FROM numbered JOIN placed ON placed.s = numbered.s AND block = n // 8 AND slot >= 0
+), blocks AS (SELECT *, n // 8 AS block, (SELECT d FROM lists) AS d FROM numbered)
+SELECT doc_id, source, block, (block * d) // a AS release, ((block + 1) * d + a - 1) // a AS deadline, block // a * d + t AS slot, (block // a * d + t) * 8 + n % 8 AS position
+FROM blocks JOIN walk ON walk.s = blocks.s AND walk.i = block % a AND t >= 0
 """
 
 
