@@ -224,7 +224,7 @@ def test_against_a_dict(spark, tmp_path):
 
 
 def test_responses_metrics_slow_log(engine):
-    engine.config.slow_query_ms = 0
+    engine.config.slow_query_ms = 1
     ok, bad, worse = engine.sql("SELECT id FROM t WHERE id = 1"), engine.sql("SELECT FROM"), engine.sql("SELECT x FROM t")
     assert (ok.code, ok.rows, ok.columns, ok.data) == (0, 1, ["id"], [{"id": 1}])
     assert (bad.code, worse.code) == (1, 2) and "parse" in bad.message
@@ -255,7 +255,7 @@ def test_get_and_explain(engine):
 def test_group_commit(engine):
     from widecairn.streaming.group_commit import GroupCommitter
 
-    c = GroupCommitter(engine, "t", interval=0.2)
+    c = GroupCommitter(lambda rows: engine.write("t", rows), interval=0.2)
     before = engine.table("t").manifest().number
     done = [c.submit([{"id": 100 + k, "n": k}]) for k in range(20)]
     assert [d.result(60).rows for d in done] == [1] * 20
@@ -276,3 +276,77 @@ def test_scheduler(engine):
     assert s.counts == {"compact": 1, "clean": 1} and not s.last_error and rows(engine) == BEFORE
     s.start()
     s.stop()
+
+
+def test_key_set_to_null(engine):
+    out = engine.sql("UPDATE t SET id = NULL WHERE id = 1")
+    assert out.code == 3 and "must not be null" in out.message
+
+
+def test_one_writer_of_a_name_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from widecairn.sources.files import Files
+
+    files = Files(spark)
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(25):
+            path = f"{tmp_path}/names/{k}"
+            won = list(pool.map(lambda n: files.write_new(path, f"text {n}"), range(8)))
+            assert sum(won) == 1 and files.read(path) == f"text {won.index(True)}"
+    assert files.list(f"{tmp_path}/names") == sorted(map(str, range(25)))
+
+
+def test_writers_of_one_table_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from widecairn.errors import CommitConflict
+    from widecairn.session import Engine
+
+    sessions = [Engine(spark, str(tmp_path)) for _ in range(3)]
+    sessions[0].execute("CREATE TABLE w (id BIGINT PRIMARY KEY, v BIGINT)")
+
+    def write(k):
+        done = []
+        for n in range(3):
+            try:
+                sessions[k].load("w", spark.createDataFrame([(k * 100 + n, n)], "id long, v long"))
+                done.append(k * 100 + n)
+            except CommitConflict:
+                pass
+        return done
+
+    with ThreadPoolExecutor(3) as pool:
+        done = [i for ids in pool.map(write, range(3)) for i in ids]
+    assert sorted(r.id for r in sessions[0].query("SELECT id FROM w").collect()) == sorted(done) != []
+
+
+def test_two_sessions_change_the_catalog(spark, tmp_path):
+    from widecairn.session import Engine
+
+    a, b = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    a.execute("CREATE TABLE x (id BIGINT PRIMARY KEY)")
+    b.execute("CREATE TABLE y (id BIGINT PRIMARY KEY)")
+    assert b.execute("INSERT INTO x (id) VALUES (1)") == 1 and a.tables() == b.tables() == ["x", "y"]
+    assert b.sql("CREATE TABLE x (id BIGINT PRIMARY KEY)").code != 0
+    a.execute("DROP TABLE y")
+    b.execute("CREATE TABLE y (id BIGINT PRIMARY KEY, more STRING)")
+    assert [r.field for r in a.query("DESCRIBE y").collect()] == ["id", "more"]
+
+
+def test_writes_through_servers_share_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from widecairn.config import Config
+    from widecairn.session import Engine
+
+    e = Engine(spark, str(tmp_path), Config(group_commit_ms=300))
+    e.execute("CREATE TABLE g (id BIGINT PRIMARY KEY, v STRING)")
+    with ThreadPoolExecutor(8) as pool:
+        out = list(pool.map(lambda k: e.submit("g", [{"id": k, "v": "x"}], "http"), range(8)))
+    assert [x.code for x in out] == [0] * 8 and [x.rows for x in out] == [1] * 8
+    assert e.table("g").manifest().number < 8 and e.query("SELECT COUNT(*) AS n FROM g").head().n == 8
+    assert e.submit("missing", [{"id": 1}], "http").code == 2 and e.submit("g", [{"v": "no key"}], "http").code == 3
+    e.execute("DROP TABLE g")
+    assert e.submit("g", [{"id": 1}], "http").code == 2
+    e.close()

@@ -87,6 +87,7 @@ def main(argv: list[str] | None = None) -> None:
     from .server.http import serve_http
     from .server.pgwire import serve_pg
     from .server.tcp import serve_tcp
+    from .sources.scheduler import Scheduler
 
     p = argparse.ArgumentParser(prog="widecairn")
     p.add_argument("--root")
@@ -103,13 +104,17 @@ def main(argv: list[str] | None = None) -> None:
     config = Config.load(a.config, root=a.root)
     engine = Engine(SparkSession.builder.appName("widecairn").getOrCreate(), config=config)
     if a.serve:
-        servers = [serve_http(engine), serve_tcp(engine), serve_pg(engine)]
-        for s in servers:
+        servers = {k.upper(): serve(engine) for k, serve in (("http", serve_http), ("tcp", serve_tcp), ("pg", serve_pg)) if config.address(k)}
+        for s in servers.values():
             threading.Thread(target=s.serve_forever, daemon=True).start()
-        addresses = dict(zip(("HTTP", "TCP", "PG"), (f"{s.server_address[0]}:{s.server_address[1]}" for s in servers)))
+        addresses = {k: f"{s.server_address[0]}:{s.server_address[1]}" for k, s in servers.items()}
+    scheduler = Scheduler(engine, config.compact_seconds, config.clean_seconds)
+    if a.serve and config.scheduler:
+        scheduler.start()
     try:
         Shell(engine, addresses).run(sys.stdin)
     finally:
+        scheduler.stop()
         engine.close()
 
 

@@ -110,6 +110,40 @@ def dml_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("SELECT o_orderstatus, SUM(o_custkey) AS s, COUNT(*) AS n FROM t GROUP BY o_orderstatus")
 
 
+def dml_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON objects, as servers take them: over old keys, new ones, and a key twice, of which the last wins."""
+    e = _orders(spark, sf_dir)
+    e.write("t", [{"o_orderkey": 1, "o_custkey": 5, "o_orderstatus": "W", "o_totalprice": 1}, {"o_orderkey": -1, "o_custkey": 6, "unknown": 0}, {"o_orderkey": -1, "o_custkey": 7, "o_totalprice": 2.5}])
+    return e.query("SELECT * FROM t")
+
+
+def dml_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that would leave two rows with one key, or one without, change nothing."""
+    e = _orders(spark, sf_dir)
+    texts = ("INSERT INTO t (o_orderkey) VALUES (-5), (1)", "INSERT INTO t (o_orderkey) VALUES (-6), (-6)", "UPDATE t SET o_orderkey = 1 WHERE o_orderkey < 10", "UPDATE t SET o_orderkey = NULL WHERE o_orderkey = 1")
+    failed = sum(e.sql(x).code != 0 for x in texts)
+    return e.query(f"SELECT o_orderkey, o_custkey, {failed} AS failed FROM t WHERE o_orderkey < 100")
+
+
+def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column added and filled, one dropped."""
+    e = _orders(spark, sf_dir)
+    e.add_column("t", ColumnDef("note", "STRING"))
+    e.drop_column("t", "o_custkey")
+    e.execute("UPDATE t SET note = 'high' WHERE o_totalprice > 100000")
+    return e.query("SELECT * FROM t")
+
+
+def ddl_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped table's name can be given again; dropping what isn't there is no error with IF EXISTS."""
+    e = _orders(spark, sf_dir)
+    e.execute("DROP TABLE t")
+    e.execute("DROP TABLE IF EXISTS t")
+    e.execute("CREATE TABLE t (o_orderstatus STRING PRIMARY KEY, n BIGINT)")
+    e.load("t", e.query("SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"))
+    return e.query("SELECT * FROM t")
+
+
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of each user's last event: an upsert in which the largest event_id of a key wins."""
     e = engine_on(spark, sf_dir)
@@ -142,6 +176,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "dml_update_key": (dml_update_key, "SELECT o_orderkey + 1 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
     "dml_delete": (dml_delete, f"{_T} WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)"),
     "dml_insert_compact": (dml_insert_compact, f"{_T} WHERE o_orderkey >= 10 UNION ALL SELECT * FROM (VALUES (1, 11, NULL, NULL), (2, 22, 'N', 2.5::DOUBLE), (3, 23, NULL, NULL))"),
+    "dml_write": (dml_write, f"{_T} WHERE o_orderkey <> 1 UNION ALL SELECT * FROM (VALUES (1, 5, 'W', 1.0::DOUBLE), (-1, 7, NULL, 2.5))"),
+    "dml_conflict": (dml_conflict, "SELECT o_orderkey, o_custkey, CAST(4 AS BIGINT) AS failed FROM orders WHERE o_orderkey < 100"),
+    "ddl_columns": (ddl_columns, "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_totalprice > 100000 THEN 'high' END AS note FROM orders"),
+    "ddl_drop": (ddl_drop, "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"),
     "dml_memory": (dml_memory, "SELECT o_orderstatus, CAST(SUM(CASE WHEN o_orderstatus != 'F' THEN -o_custkey ELSE o_custkey END) AS BIGINT) AS s, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"),
     "latest_version": (latest_version, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
     "show_tables": (show_tables, "SELECT unnest(['customer', 'events', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier']) AS \"table\""),

@@ -73,7 +73,7 @@ class Handler(BaseHTTPRequestHandler):
                     rows = body.get("rows") or []
                     if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
                         raise BadRequest("rows are no list of objects")
-                    out = self.engine.write(str(body.get("table", "")), rows, "http")
+                    out = self.engine.submit(str(body.get("table", "")), rows, "http")
                 return self._send(200 if out.code == 0 else 400, out.as_dict())
             if path in ("/admin/flush", "/admin/compact"):
                 self._body()
@@ -101,7 +101,8 @@ class Handler(BaseHTTPRequestHandler):
 
 def serve_http(engine: Engine, host: str | None = None, port: int | None = None) -> ThreadingHTTPServer:
     """A server that is bound but not running; port 0 takes a free one."""
-    server = ThreadingHTTPServer((host or engine.config.host, engine.config.http_port if port is None else port), Handler)
+    own = engine.config.address("http") or (engine.config.host, 0)
+    server = ThreadingHTTPServer((host or own[0], own[1] if port is None else port), Handler)
     server.daemon_threads = True
     server.engine = engine
     return server

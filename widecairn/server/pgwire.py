@@ -216,6 +216,7 @@ class Server(socketserver.ThreadingTCPServer):
 
 
 def serve_pg(engine: Engine, host: str | None = None, port: int | None = None) -> Server:
-    server = Server((host or engine.config.host, engine.config.pg_port if port is None else port), Handler)
+    own = engine.config.address("pg") or (engine.config.host, 0)
+    server = Server((host or own[0], own[1] if port is None else port), Handler)
     server.engine, server.slots = engine, threading.BoundedSemaphore(engine.config.pg_connections)
     return server

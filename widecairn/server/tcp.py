@@ -49,7 +49,7 @@ def answer(engine: Engine, kind: int, raw: bytes) -> Response:
         body = json.loads(raw or b"{}")
         if kind == QUERY:
             return engine.sql(str(body.get("sql", "")), "tcp")
-        return engine.write(str(body.get("table", "")), body.get("rows") or [], "tcp")
+        return engine.submit(str(body.get("table", "")), body.get("rows") or [], "tcp")
     except (ValueError, AttributeError) as e:
         return Response(-1, f"request is no JSON object: {e}")
 
@@ -71,7 +71,8 @@ class Server(socketserver.ThreadingTCPServer):
 
 
 def serve_tcp(engine: Engine, host: str | None = None, port: int | None = None) -> Server:
-    server = Server((host or engine.config.host, engine.config.tcp_port if port is None else port), Handler)
+    own = engine.config.address("tcp") or (engine.config.host, 0)
+    server = Server((host or own[0], own[1] if port is None else port), Handler)
     server.engine = engine
     return server
 

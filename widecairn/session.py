@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import time
 import uuid
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from itertools import accumulate
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,7 @@ from .plans.parser import parse
 from .plans.planner import Planned
 from .sources.catalog import Catalog
 from .sources.tables import FrameView, KeyedTable, MemoryTable, ParquetView, Table
+from .streaming.group_commit import GroupCommitter
 
 
 @dataclass
@@ -45,13 +50,46 @@ class Response:
 PARSE_FAILED, ANALYSIS_FAILED, EXECUTION_FAILED = 1, 2, 3
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a local one only where all of Spark is this one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("an engine without a root needs spark.checkpoint.dir, a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp()).rstrip("/")
+
+
+def _first_line(e: Exception) -> str:
+    text = str(e.java_exception.getMessage()) if isinstance(e, Py4JJavaError) else str(e)
+    return text.splitlines()[0] if text else type(e).__name__
+
+
+class Histogram:
+    """Counts of durations up to each bound, in seconds."""
+
+    BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
+
+    def __init__(self):
+        self.counts, self.total, self.lock = [0] * (len(self.BOUNDS) + 1), 0.0, threading.Lock()
+
+    def add(self, seconds: float) -> None:
+        with self.lock:
+            self.counts[bisect_left(self.BOUNDS, seconds)] += 1
+            self.total += seconds
+
+    def lines(self, name: str) -> dict[str, float]:
+        """Cumulated, as scrapers expect it."""
+        with self.lock:
+            sums = list(accumulate(self.counts))
+            out = {f'{name}_bucket{{le="{b:g}"}}': n for b, n in zip(self.BOUNDS, sums)}
+            return out | {f'{name}_bucket{{le="+Inf"}}': sums[-1], f"{name}_count": sums[-1], f"{name}_sum": self.total}
+
+
 class Engine:
     """``root`` is a folder in any store that Spark reaches; without one, tables last as long as the session."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.root = (root or self.config.root or f"{shared.rstrip('/') if shared else tempfile.mkdtemp()}/widecairn-{uuid.uuid4().hex}").rstrip("/")
+        self.root = (root or self.config.root or f"{_shared_dir(spark)}/widecairn-{uuid.uuid4().hex}").rstrip("/")
         self.session = uuid.uuid4().hex
         self.catalog = Catalog(spark, self.root)
         self.views: dict[str, Table] = {}
@@ -59,6 +97,8 @@ class Engine:
         self.counts: Counter = Counter()
         self.seconds: Counter = Counter()
         self.slow: deque = deque(maxlen=self.config.slow_query_entries)
+        self.times = {k: Histogram() for k in ("query", "write")}
+        self.committers: dict[str, GroupCommitter] = {}
         self.lock = threading.RLock()
 
     # -- tables -------------------------------------------------------------------------
@@ -92,8 +132,12 @@ class Engine:
         with self.lock:
             if self.views.pop(name, None) is None:
                 t = self.table(name)
-                self.catalog.drop(name)
-                self.open.pop(name, None)
+                try:
+                    self.catalog.drop(name)
+                finally:
+                    self.open.pop(name, None)
+                if c := self.committers.pop(name, None):
+                    c.close()
                 t.files.delete(t.root)
 
     def add_column(self, table: str, column: ColumnDef) -> None:
@@ -105,7 +149,10 @@ class Engine:
         self.open.pop(table, None)
 
     def close(self) -> None:
-        """Memory tables end with the session."""
+        """Memory tables end with the session, writes that wait are committed."""
+        for c in self.committers.values():
+            c.close()
+        self.committers.clear()
         for t in self.open.values():
             if isinstance(t, MemoryTable):
                 t.files.delete(t.root)
@@ -175,8 +222,9 @@ class Engine:
             out = Response(PARSE_FAILED, f"parse error: {e}")
         except AnalysisError as e:
             out = Response(ANALYSIS_FAILED, f"analyze error: {e}")
-        except (EngineError, PySparkException) as e:
-            out = Response(EXECUTION_FAILED, f"execute error: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+        except (EngineError, PySparkException, Py4JJavaError) as e:
+            # Also a result beyond spark.driver.maxResultSize, which ends the job.
+            out = Response(EXECUTION_FAILED, f"execute error: {_first_line(e)}")
         self._note("query", text, time.perf_counter() - began, out, source)
         return out
 
@@ -187,11 +235,25 @@ class Engine:
             out = Response(rows=dml.write(self.spark, self.table(table), rows))
         except AnalysisError as e:
             out = Response(ANALYSIS_FAILED, f"analyze error: {e}")
-        except (EngineError, PySparkException) as e:
-            out = Response(EXECUTION_FAILED, f"execute error: {str(e).splitlines()[0]}")
+        except (EngineError, PySparkException, Py4JJavaError) as e:
+            out = Response(EXECUTION_FAILED, f"execute error: {_first_line(e)}")
         self._note("write", f"write {table}", time.perf_counter() - began, out, source)
         return out
 
+    def submit(self, table: str, rows: Iterable[Mapping], source: str) -> Response:
+        """A write for a server: rows that other clients write at the same time share its commit."""
+        if not self.config.group_commit_ms:
+            return self.write(table, rows, source)
+        with self.lock:
+            if table not in self.committers:
+                try:
+                    self.table(table)
+                except AnalysisError:
+                    return self.write(table, rows, source)
+                self.committers[table] = GroupCommitter(lambda x: self.write(table, x, source), self.config.group_commit_ms / 1000)
+            waiting = self.committers[table].submit(rows)
+        return waiting.result()
+
     def load(self, table: str, df: DataFrame, order_by: str | None = None) -> int:
         """Bulk upsert of a DataFrame, distributed."""
         return dml.writable(self.table(table)).upsert(df, order_by)
@@ -222,7 +284,8 @@ class Engine:
         self.counts[f"{kind}_errors_total"] += out.code != 0
         self.counts[f"{kind}_rows_total"] += out.rows
         self.seconds[f"{kind}_seconds_total"] += seconds
-        if seconds * 1000 >= self.config.slow_query_ms:
+        self.times[kind].add(seconds)
+        if 0 < self.config.slow_query_ms <= seconds * 1000:
             self.counts["slow_total"] += 1
             shown = text.encode()[: self.config.slow_query_bytes].decode(errors="ignore")
             self.slow.appendleft({"sql": shown, "duration_ms": round(seconds * 1000, 3), "rows": out.rows, "code": out.code, "source": source, "time": time.time()})
@@ -236,7 +299,10 @@ class Engine:
         return {"tables": tables, "summary": {"tables": len(tables), "base_rows": sum(t["base_rows"] for t in tables), "delta_rows": sum(t["delta_rows"] for t in tables)}}
 
     def metrics(self) -> dict:
-        return dict(self.counts) | dict(self.seconds)
+        out = dict(self.counts) | dict(self.seconds)
+        for k, h in self.times.items():
+            out |= h.lines(f"{k}_duration_seconds")
+        return out
 
     def keyed_tables(self, name: str | None = None) -> list[KeyedTable]:
         return [dml.writable(self.table(n)) for n in ([name] if name else self.catalog.names())]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -37,20 +39,36 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, text: str) -> bool:
-        """Write a file that doesn't exist yet, whole or not at all; False if it exists."""
+        """Write a file that doesn't exist yet, whole or not at all; False if it exists.
+
+        Of several writers of one name exactly one succeeds: the text goes to a file of its own,
+        which then gets the name by a step that fails if there is such a file.  That step is a
+        hard link on local file systems, elsewhere a rename without overwriting, which has to be
+        atomic: it is on HDFS, it isn't on object stores that rename by copying.
+        """
         fs, p = self._at(path)
         if fs.exists(p):
             return False
-        temp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{id(self):x}.tmp")
-        stream = fs.create(temp, True)
+        hadoop = self.jvm.org.apache.hadoop.fs
+        temp = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(temp, False)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        # rename() onto an existing file fails or, on local file systems, replaces it: look again first.
-        if fs.exists(p) or not fs.rename(temp, p):
+        try:
+            if fs.getUri().getScheme() == "file":
+                local = [self.jvm.java.io.File(x.toUri().getPath()).toPath() for x in (p, temp)]
+                self.jvm.java.nio.file.Files.createLink(*local)
+            else:
+                none = self.jvm.java.lang.reflect.Array.newInstance(getattr(hadoop, "Options$Rename")._java_lang_class, 0)
+                hadoop.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(temp), fs.makeQualified(p), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
             fs.delete(temp, False)
-            return False
         return True
 
     def delete(self, path: str) -> None:

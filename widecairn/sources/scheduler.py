@@ -15,7 +15,8 @@ class Scheduler:
 
     def start(self) -> None:
         self.stop_.clear()
-        self.threads = [threading.Thread(target=self._loop, args=(k,), daemon=True) for k in self.every]
+        # An interval of 0 leaves that upkeep out.
+        self.threads = [threading.Thread(target=self._loop, args=(k,), daemon=True) for k, seconds in self.every.items() if seconds]
         for t in self.threads:
             t.start()
 
