@@ -86,20 +86,35 @@ def test_encode_decode_rows(spark, tricky, docs, library):
 # -- fingerprints -------------------------------------------------------------------------
 
 
+def true_jaccard(a, b, n=5):
+    x, y = ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if (w := t.lower().split()) else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
 def test_fingerprint_query(spark, tricky, docs):
-    for df in (docs, tricky, docs.limit(1), docs.limit(0)):
-        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.text or ""))
-        want = []
+    nulls = spark.createDataFrame([(None, f"text {k} of no one {k * k}") for k in range(100)] + [(k, "x") for k in range(100)], "doc_id long, text string")
+    for df in (docs, tricky, docs.limit(1), docs.limit(0), nulls):
+        hashed = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, hashed[r.text] if r.doc_id is None else r.doc_id, r.text or ""))
+        want, near = [], {}
         for k, r in enumerate(rows):
             a, b = r.text or "", rows[(k + 1) % len(rows)].text or ""
             edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
             want.append((r.doc_id, len(a), hashlib.sha256(edited.encode()).hexdigest()))
+            near[r.doc_id] = (true_jaccard(a, edited), true_jaccard(a, b), max(len(a.split()), 1))
         got = fingerprint.edited_pairs(df).collect()
         assert sorted([tuple(r)[:3] for r in got], key=repr) == sorted(want, key=repr)
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-        if len(got) > 100:
-            long = [r for r in got if r.n_chars > 500]
-            assert np.mean([r.near_edited > r.near_next for r in long]) > 0.9
+        if len(got) > 100 and df is docs:
+            # Of n shingles about n / ONE_IN are kept: four standard deviations.
+            for r in got:
+                e, x, n = near[r.doc_id]
+                if n > 100:
+                    assert abs(r.near_edited - e) < 2 / (n / fingerprint.ONE_IN) ** 0.5 and abs(r.near_next - x) < 2 / (n / fingerprint.ONE_IN) ** 0.5
+            off = [r.near_edited - near[r.doc_id][0] for r in got if near[r.doc_id][2] > 100]
+            assert abs(np.mean(off)) < 0.02 and np.mean(np.abs(off)) < 0.08
+    with pytest.raises(TypeError):
+        fingerprint.edited_pairs(spark.createDataFrame([("a", "t")], "doc_id string, text string"))
 
 
 def test_sketches():
