@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -163,12 +164,97 @@ def test_added_spans():
     found, y = pii.examples(2000, 77)
     p = trees.predict(np.array([pii.features(*e) for e in found]))
     hit = p >= np.array([thresholds[e[1][1]] for e in found])
-    assert y[hit].mean() > 0.97 and hit[y > 0].mean() > 0.75
+    assert y[hit].mean() > 0.95 and hit[y > 0].mean() > 0.85
     text = "call me: (415) 555-0199 or write joe (at) site (dot) org"
     spans = pii.added_spans(text, pii.base_spans(text), trees, thresholds)
     assert pii.redact(text, spans) == "call me: <PHONE> or write <EMAIL>"
 
 
+def test_added_spans_in_real_texts():
+    """Of base spans rewritten to forms that no base rule finds, most are found; in the texts as they are nothing is added to numbers that are no cards."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    trees, thresholds = pii.fitted()
+    r, found, total, wrong = random.Random(4), Counter(), Counter(), 0
+    for text in texts:
+        base = pii.base_spans(text)
+        wrong += len(pii.added_spans(text, base, trees, thresholds))
+        for a, kind, b in base:
+            old = text[a:b]
+            if kind == 0:
+                new = old.replace("@", r.choice((" (at) ", "[at]", " at "))).replace(".com", r.choice((" (dot) com", " dot com", ".com")))
+            elif kind == 2:
+                new = ".".join(old[k : k + 4] for k in range(0, 16, 4))
+            elif kind == 3:
+                d = re.sub("[^0-9]", "", old)[-10:]
+                new = r.choice((f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}"))
+            else:
+                continue
+            changed = text[:a] + new + text[b:]
+            spans = pii.added_spans(changed, pii.base_spans(changed), trees, thresholds)
+            total[kind] += 1
+            found[kind] += any(k == kind and s <= a + 1 and e >= a + len(new) - 1 for s, k, e in spans)
+    assert wrong <= 2 and all(found[k] >= 0.8 * total[k] > 0 for k in (0, 2, 3)), (wrong, found, total)
+
+
+def test_numbers_side_by_side():
+    trees, thresholds = pii.fitted()
+    for text, want in (
+        ("jane (at) example.com", ["jane (at) example.com"]),
+        ("call 212-555-0100 / 212-555-0199", ["212-555-0100", "212-555-0199"]),
+        ("ring 2021 212-555-0100", ["212-555-0100"]),
+        ("call 2125550100 now", ["2125550100"]),
+        ("host 2001:db8::ff00:42:8329 is", ["2001:db8::ff00:42:8329"]),
+    ):
+        assert [text[a:b] for a, _, b in sorted(pii.added_spans(text, [], trees, thresholds))] == want
+
+
+def test_number_spans_are_all_runs_of_groups():
+    r = random.Random(2)
+    for _ in range(2000):
+        t = "".join(r.choice(["12", "345", "6789", "1", " ", "-", ".", "(", ")", " a ", "    "]) for _ in range(r.randint(1, 14)))
+        groups = [m.span() for m in re.finditer("[0-9]+", t)]
+        want = set()
+        for i in range(len(groups)):
+            for j in range(i, len(groups)):
+                between = [t[x[1] : y[0]] for x, y in zip(groups[i:j], groups[i + 1 : j + 1])]
+                n = sum(b - a for a, b in groups[i : j + 1])
+                if all(re.fullmatch(r"[ ().\-/]{1,3}", x) for x in between):
+                    start, end = groups[i][0], groups[j][1]
+                    want |= {(start - (t[start - 1 : start] == "("), 3, end)} if 7 <= n <= 15 else set()
+                    want |= {(start, 2, end)} if 12 <= n <= 19 else set()
+        assert set(pii.number_spans(t)) == want, repr(t)
+
+
+def test_free_intervals():
+    r = random.Random(6)
+    for _ in range(300):
+        some = [(a, a + r.randint(1, 9)) for a in (r.randrange(100) for _ in range(6))]
+        t = pii.Taken(some)
+        for _ in range(30):
+            a = r.randrange(110)
+            b = a + r.randint(1, 9)
+            free = all(b <= x or a >= y for x, y in some)
+            assert t.free(a, b) == free
+            if free:
+                t.add(a, b)
+                some.append((a, b))
+
+
+def test_many_numbers_take_linear_time():
+    import time
+
+    trees, thresholds = pii.fitted()
+    took = []
+    for n in (500, 4000):
+        text = " ".join(f"212-555-{k % 10000:04d}" for k in range(n))
+        began = time.perf_counter()
+        assert len(pii.added_spans(text, [], trees, thresholds)) > 0.9 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]
+
+
 def test_find_pii(tricky, docs):
     for df in (tricky, docs, docs.limit(0)):
         got = pii.find_pii(df).collect()

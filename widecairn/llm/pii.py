@@ -1,14 +1,17 @@
 """Personal data: high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 Spans that the four base rules find are always kept.  Generators then propose further,
-overlapping spans that the rules don't reach: addresses written out with "at" and "dot",
-phone numbers without a plus sign, card numbers with dots, eight-group addresses.  Trees
-that are fitted on generated examples (``examples``: seeded, the same at every input size)
-score each proposal from its format and the words about it; a proposal stays if its score
-reaches its kind's threshold, which is calibrated on generated examples held out from the
-fit.  Of overlapping proposals the likeliest stays, and none may overlap a base span.
+overlapping spans that the rules don't reach: addresses written out with "at" or "dot",
+every run of neighbouring groups of digits that has as many as a phone or card number,
+addresses of hexadecimal groups.  Trees that are fitted on generated examples
+(``examples``: seeded, the same at every input size) score each proposal from its format
+and the words about it; a proposal stays if its score reaches its kind's threshold, which
+is calibrated on generated examples held out from the fit.  Of overlapping proposals the
+likeliest stays, and none may overlap a base span.  The work in one text grows as its
+length times the logarithm of the number of its spans.
 
 Null text counts as empty and has no spans; offsets are code points, ends exclusive.
+Every row, repeated or not, has its own spans; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._boost import Trees
-from ._frames import map_batches, map_rows, text_or_empty
+from ._frames import column, field, map_batches, map_rows, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base rules.
@@ -84,34 +87,60 @@ def base_spans(text: str) -> list[Span]:
 
 # -- proposals ------------------------------------------------------------------------
 
-_dot = re.compile(r"\s?(?:\(dot\)|\[dot\]|\{dot\}|(?<=\s)dot(?=\s))\s?", re.I)
 _at = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s))\s?", re.I).finditer
 _after_at = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I).match
-_number = re.compile(r"[(0-9][0-9 ().\-/]{7,28}[0-9]").finditer
-_groups8 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])").finditer
+#: Digits with up to three separators between: a run of groups.
+_run = re.compile(r"[0-9]+(?:[ ().\-/]{1,3}[0-9]+)*").finditer
+_group = re.compile(r"[0-9]+").finditer
+_hextets = re.compile(r"(?<![0-9A-Fa-f:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)(?:[0-9A-Fa-f]{1,4}|:)(?::?[0-9A-Fa-f]{1,4}|::?)*(?![0-9A-Fa-f:])").finditer
+#: Fewest and most digits of a phone and of a card number.
+PHONE_DIGITS, CARD_DIGITS = (7, 15), (12, 19)
+
+
+def is_hextets(s: str) -> bool:
+    """Eight groups of hexadecimal digits, or fewer and one gap."""
+    groups = s.split(":")
+    if s.count("::") > 1 or ":::" in s or (s[0] == ":" and s[:2] != "::") or (s[-1] == ":" and s[-2:] != "::"):
+        return False
+    filled = sum(g != "" for g in groups)
+    return filled == 8 if "::" not in s else 2 <= filled <= 7
+
+
+def number_spans(text: str) -> list[Span]:
+    """Every run of neighbouring groups of digits that could be a phone or card number; a group begins fewer of them than it has digits to go."""
+    out: list[Span] = []
+    for m in _run(text):
+        if m.end() - m.start() < PHONE_DIGITS[0]:
+            continue
+        groups = [g.span() for g in _group(text, m.start(), m.end())]
+        for i, (start, _) in enumerate(groups):
+            n, first = 0, start - (text[start - 1 : start] == "(")
+            for a, b in groups[i:]:
+                n += b - a
+                if n > CARD_DIGITS[1]:
+                    break
+                if PHONE_DIGITS[0] <= n <= PHONE_DIGITS[1]:
+                    out.append((first, 3, b))
+                if CARD_DIGITS[0] <= n:
+                    out.append((start, 2, b))
+    return out
 
 
 def proposals(text: str) -> list[Span]:
     """Candidate spans besides the base ones; they may overlap."""
     out: list[Span] = []
-    if ("dot" in text or "DOT" in text or "Dot" in text) and _dot.search(text):
-        free = 0
-        for m in _at(text):
-            start = m.start()
-            while start > free and text[start - 1] in _local:
-                start -= 1
-            if start < m.start() and (d := _after_at(text, m.end())):
-                out.append((start, 0, d.end()))
-                free = d.end()
+    free = 0
+    for m in _at(text):
+        start = m.start()
+        while start > free and text[start - 1] in _local:
+            start -= 1
+        if start < m.start() and (d := _after_at(text, m.end())):
+            out.append((start, 0, d.end()))
+            free = m.end()
     if _digit(text):
-        for m in _number(text):
-            n = len(_digits(m.group()))
-            if 7 <= n <= 15 and n < m.end() - m.start():
-                out.append((m.start(), 3, m.end()))
-            if 12 <= n <= 19:
-                out.append((m.start(), 2, m.end()))
-        if ":" in text:
-            out += [(m.start(), 1, m.end()) for m in _groups8(text)]
+        out += number_spans(text)
+    if ":" in text:
+        out += [(m.start(), 1, m.end()) for m in _hextets(text) if is_hextets(m.group())]
     return out
 
 
@@ -126,6 +155,12 @@ AGAINST = ("version", "isbn", "order", "build", "release", "id", "no", "ref", "p
 _word = re.compile(r"[\w-]+").findall
 
 
+#: Ends of addresses that speak for one.
+TAILS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "it", "nl", "co")
+_near_digit_before = re.compile(r"[0-9][ ().\-/]{1,3}$").search
+_near_digit_after = re.compile(r"[ ().\-/]{1,3}[0-9]").match
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format and context of one candidate."""
     start, kind, end = span
@@ -137,6 +172,7 @@ def features(text: str, span: Span) -> list[float]:
     after = [w.lower() for w in _word(text[end : end + 24])[:2]]
     prev, nxt = text[start - 1 : start], text[end : end + 1]
     year = any(len(g) == 4 and g[:2] in ("19", "20") for g in groups)
+    low = s.lower()
     return [
         float(kind == 0), float(kind == 1), float(kind == 2), float(kind == 3),
         len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], len(s),
@@ -145,6 +181,9 @@ def features(text: str, span: Span) -> list[float]:
         float(prev.isalnum() or prev in ("-", ".", "/", "#", "_", "$", "+")), float(nxt.isalnum() or nxt in ("-", "/", "%", "_")),
         float(sum(w in CONTEXT[kind] for w in before)), float(sum(w in AGAINST for w in before)), float(sum(w in CONTEXT[kind] for w in after)),
         float(sizes[-3:] == [3, 3, 4] or sizes[-2:] == [3, 4]), float(max(sizes) == min(sizes) == 4),
+        float(bool(_near_digit_before(text[max(0, start - 4) : start]))), float(bool(_near_digit_after(text[end : end + 4]))),
+        float(any(x in low for x in ("(at)", "[at]", "{at}"))), float("dot" in low), float(re.split(r"[^a-z]+", low)[-1] in TAILS),
+        float(len(set(re.findall(r"[ ().\-/]+", s)))), float("::" in s), float(any(c in "abcdef" for c in low)),
     ]
 
 
@@ -160,57 +199,66 @@ def examples(count: int, seed: int) -> tuple[list[tuple[str, Span]], np.ndarray]
         s = r.choice("3456") + d(14)
         return next(s + c for c in "0123456789" if luhn(s + c))
 
+    def phone() -> tuple[str, str, str]:
+        return str(r.randint(201, 989)), d(3), d(4)
+
     def good(kind: int) -> str:
         if kind == 0:
             at = r.choice((" (at) ", " [at] ", "(at)", " at ", "[at]", " {at} "))
-            dot = r.choice((" (dot) ", " [dot] ", "(dot)", " dot ", "[dot]"))
-            return f"{w()}{r.choice(('', '.' + w(), d(2)))}{at}{w()}{dot}{r.choice(('com', 'org', 'net', 'de', 'io'))}"
+            dot = r.choice((" (dot) ", " [dot] ", "(dot)", " dot ", "[dot]", ".", "."))
+            return f"{w()}{r.choice(('', '.' + w(), d(2), '.' + d(2)))}{at}{w()}{r.choice(('', d(1)))}{r.choice(('', dot + w()))}{dot}{r.choice(('com', 'org', 'net', 'de', 'io'))}"
         if kind == 1:
-            return ":".join(h() for _ in range(8))
+            full = [h() for _ in range(8)]
+            i = r.randint(1, 6)
+            return ":".join(full) if r.random() < 0.5 else ":".join(full[:i]) + "::" + ":".join(full[r.randint(i + 1, 8) :])
         if kind == 2:
-            return ".".join((c := card())[i : i + 4] for i in range(0, 16, 4))
-        a, b, c = str(r.randint(201, 989)), d(3), d(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{d(2)} {a} {b}{c}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)}/{d(4)}{d(3)}", f"1-{a}-{b}-{c}"))
+            return r.choice((".", "/")).join((c := card())[i : i + 4] for i in range(0, 16, 4))
+        a, b, c = phone()
+        return r.choice((f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}{b}{c}", f"00{d(2)} {a} {b}{c}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)}/{d(4)}{d(3)}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}"))
 
     def bad(kind: int) -> str:
         if kind == 0:
-            return f"{w()} at {w()} dot {w()}"
+            return r.choice((f"{w()} at {w()} dot {w()}", f"{w()} at {w()}.{w()}", f"{w()} at {d(1)}.{d(2)}"))
         if kind == 1:
-            return ":".join(f"{r.randrange(60):02d}" for _ in range(8))
+            return r.choice((":".join(f"{r.randrange(60):02d}" for _ in range(8)), f"{r.choice(('std', 'a', 'fee', 'de'))}::{r.choice(('add', 'be', 'c', 'face'))}", f"{d(2)}::{d(2)}"))
         if kind == 2:
             s = r.choice((d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}.{d(4)}.{d(4)}.{d(4)}", f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", d(r.randint(12, 19))))
             return s if not luhn(_digits(s)) else s[:-1] + str((int(s[-1]) + 1) % 10)
-        y = r.choice((f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", f"19{d(2)}-20{d(2)}", f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)} {d(4)}", f"20{d(2)} {d(2)} {d(2)} {d(2)}", f"{d(2)}-{d(7)}", f"{d(5)}.{d(4)}", f"{d(3)}.{d(6)}", f"{d(1)} {d(2)} {d(3)} {d(2)}"))
-        return y
+        return r.choice((f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", f"19{d(2)}-20{d(2)}", f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)} {d(4)}", f"20{d(2)} {d(2)} {d(2)} {d(2)}", f"{d(2)}-{d(7)}", f"{d(5)}.{d(4)}", f"{d(3)}.{d(6)}", f"{d(1)} {d(2)} {d(3)} {d(2)}", d(r.randint(7, 15)), d(r.randint(7, 15)), d(16)))
 
     out, y = [], []
     while len(out) < count:
         kind, positive = r.randrange(4), r.random() < 0.45
         s = good(kind) if positive else bad(kind)
-        lead = fill(r.randint(1, 6))
-        if r.random() < (0.6 if positive else 0.1):
-            lead += " " + r.choice(CONTEXT[kind]) + r.choice(("", ":"))
+        lead, ends = fill(r.randint(1, 6)), fill(3)
+        bare = kind == 3 and s.isdigit()  # ten digits alone are a number of any sort
+        if positive and (bare or r.random() < 0.6) or r.random() < 0.05:
+            lead += " " + r.choice(CONTEXT[kind]) + r.choice(("", ":", " at", " me:"))
         elif not positive and r.random() < 0.5:
             lead += " " + r.choice(AGAINST)
-        text = f"{lead} {s}{r.choice((' ', '. ', ', '))}{fill(3)}"
+        # Other numbers right beside it, of which proposals are made too.
+        if kind == 3 and r.random() < 0.25:
+            lead += " " + r.choice((f"20{d(2)}", d(2), "-".join(phone()) + r.choice((" /", ",", ""))))
+        if kind == 3 and r.random() < 0.25:
+            ends = r.choice((f"20{d(2)}", d(r.randint(1, 2)), f"/ {'-'.join(phone())}")) + " " + ends
+        text = f"{lead} {s}{r.choice((' ', ' ', '. ', ', '))}{ends}"
         start = len(lead) + 1
         for span in proposals(text):
-            if span[1] == kind and span[0] < start + len(s) and span[2] > start:
-                hit = positive and span[0] <= start + 1 and span[2] >= start + len(s) - 1 and span[2] <= start + len(s)
+            if span[0] < start + len(s) and span[2] > start and (span[1] == kind or not positive):
                 out.append((text, span))
-                y.append(float(hit))
+                y.append(float(positive and span == (start, kind, start + len(s))))
     return out[:count], np.array(y[:count])
 
 
 #: Generated examples for the fit and for the thresholds, and the precision that a threshold must reach on the latter.
-FIT_EXAMPLES, CALIBRATION_EXAMPLES, PRECISION = 4000, 4000, 0.995
+FIT_EXAMPLES, CALIBRATION_EXAMPLES, PRECISION = 8000, 8000, 0.985
 
 
 @lru_cache(maxsize=2)
 def fitted(seed: int = 11) -> tuple[Trees, tuple[float, ...]]:
     """The trees and the threshold of each kind."""
     found, y = examples(FIT_EXAMPLES, seed)
-    trees = Trees().fit(np.array([features(*e) for e in found]), y)
+    trees = Trees(rounds=100, depth=4).fit(np.array([features(*e) for e in found]), y)
     found, y = examples(CALIBRATION_EXAMPLES, seed + 1)
     p, kinds = trees.predict(np.array([features(*e) for e in found])), np.array([e[1][1] for e in found])
     out = []
@@ -223,20 +271,48 @@ def fitted(seed: int = 11) -> tuple[Trees, tuple[float, ...]]:
     return trees, tuple(out)
 
 
+class Taken:
+    """Disjoint intervals in order: whether another is free of them takes a binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):  # base spans of different kinds may overlap
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k < 0 or self.ends[k] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def added_spans(text: str, base: list[Span], trees: Trees, thresholds: tuple[float, ...]) -> list[Span]:
-    """Proposals that the trees accept, disjoint from the base spans and each other."""
-    taken = [(a, b) for a, _, b in base]
-    free = lambda s: all(s[2] <= a or s[0] >= b for a, b in taken)
-    found = [s for s in dict.fromkeys(proposals(text)) if free(s)]
-    if not found:
-        return []
-    p = trees.predict(np.array([features(text, s) for s in found]))
+    """Proposals that the trees accept, disjoint from the base spans and each other: the likeliest first, of equals the longest."""
+    taken = Taken([(a, b) for a, _, b in base])
+    found = [s for s in dict.fromkeys(proposals(text)) if taken.free(s[0], s[2])]
     out = []
-    for k in sorted(range(len(found)), key=lambda k: (-p[k], found[k])):
-        if p[k] >= thresholds[found[k][1]] and free(found[k]):
-            out.append(found[k])
-            taken.append((found[k][0], found[k][2]))
-    return out
+    for lo in range(0, len(found), PROPOSALS_TOGETHER):
+        some = found[lo : lo + PROPOSALS_TOGETHER]
+        p = trees.predict(np.array([features(text, s) for s in some]))
+        out += [(-q, s[0] - s[2], s) for q, s in zip(p.tolist(), some) if q >= thresholds[s[1]]]
+    kept = []
+    for _, _, s in sorted(out):
+        if taken.free(s[0], s[2]):
+            kept.append(s)
+            taken.add(s[0], s[2])
+    return kept
+
+
+#: Proposals of a text whose features are held at a time.
+PROPOSALS_TOGETHER = 10_000
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -267,7 +343,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     columns of any name are ignored.
     """
     trees, thresholds = fitted(seed)
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string" + ", redacted string" * with_output
+    schema = f"{field(df, id_col)}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string" + ", redacted string" * with_output
 
     def run(batches):
         for b in batches:
@@ -283,9 +359,9 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
                 out["spans"].append(_line(spans))
                 if with_output:
                     out["redacted"].append(redact(text, spans) if spans else text)
-            yield {id_col: b[id_col], **out}
+            yield {id_col: b["_id"], **out}
 
-    return map_batches(df.select(F.col(id_col), text_or_empty(text_col).alias("_text")), run, schema)
+    return map_batches(df.select(column(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), run, schema)
 
 
 def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", seed: int = 11) -> DataFrame:
