@@ -283,13 +283,13 @@ def area(y, p):
 
 
 def test_toxicity(spark, tricky):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    learn = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 0)
-    chain = toxicity.fit_on(docs, learn)
-    got = toxicity.score(docs, chain).join(labels.drop("quality").withColumnRenamed("toxic", "mark"), "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 3 == 0).toPandas()
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    chain = toxicity.fit_on(docs, labels.where(~held))
+    got = toxicity.score(docs, chain).join(labels.drop("quality").withColumnRenamed("toxic", "mark"), "doc_id").where(held).toPandas()
     y = got["mark"].to_numpy()
-    assert area(y, got.p_toxic.to_numpy()) > 0.8
-    assert got.toxic[y == 0].mean() < 0.03 and got.toxic[y > 0].mean() > 0.35
+    assert area(y, got.p_toxic.to_numpy()) > 0.9
+    assert got.toxic[y == 0].mean() < 0.01 and got.toxic[y > 0].mean() >= 0.8
     odd = toxicity.score(tricky, chain).collect()
     assert len(odd) == tricky.count() and all(0 <= r.p_toxic <= 1 for r in odd)
     assert toxicity.accepted(tricky, chain).columns == tricky.columns
@@ -297,17 +297,63 @@ def test_toxicity(spark, tricky):
     assert toxicity.score(docs, none).where("toxic or p_toxic > 0").count() == 0
 
 
-def test_later_links_use_earlier_probabilities():
+def test_chain_equals_plain_arithmetic(spark, docs, labels):
+    """Every probability of every document by dictionaries: each link adds up its words' weights and the earlier links' probabilities."""
+    import math
+
+    chain = toxicity.fit_on(docs, labels)
+    n = len(chain.vocabulary)
+    for r in toxicity.score(docs, chain).collect():
+        words = set(re.findall(r"[^\W\d_]+", docs_text(docs)[r.doc_id].lower()))
+        has = words | {w[:k] for w in words for k in (4, 5, 6, 7) if len(w) > k}
+        p = []
+        for w in chain.weights:
+            z = w[-1] + sum(w[k] for k, v in enumerate(chain.vocabulary) if v in has) + sum(q * w[n + k] for k, q in enumerate(p))
+            p.append(1 / (1 + math.exp(-min(30, max(-30, z)))))
+        assert [r[f"p_{c}"] for c in toxicity.CATEGORIES] == pytest.approx(p, abs=1e-9)
+        assert r.toxic == (p[-1] >= chain.threshold)
+
+
+_texts: dict = {}
+
+
+def docs_text(docs):
+    if not _texts:
+        _texts.update({r.doc_id: r.text for r in docs.collect()})
+    return _texts
+
+
+def test_out_of_fold_probabilities():
+    """A row's probability comes from a fit without its fold: its own mark can't change it."""
+    rng = np.random.default_rng(3)
+    x, fold = (rng.random((200, 6)) < 0.4).astype(np.float32), np.arange(200) % toxicity.FOLDS
+    y = ((x[:, 0] + rng.random(200)) > 0.9).astype(float)
+    w, out = toxicity.fit_link(x, y, fold)
+    other = y.copy()
+    other[fold == 2] = 1 - other[fold == 2]
+    w2, out2 = toxicity.fit_link(x, other, fold)
+    assert np.allclose(out[fold == 2], out2[fold == 2], atol=1e-5) and not np.allclose(out[fold != 2], out2[fold != 2], atol=1e-3)
+    assert not np.allclose(w, w2, atol=1e-3)
+
+
+def test_kinds_and_later_links():
+    """Three sorts of toxic texts become three kinds, and the last link uses what the first say."""
     r = random.Random(1)
-    texts, y = [], []
-    for k in range(600):
+    sorts, texts, y, own = [["red", "rose"], ["sun", "sand"], ["ice", "iron"]], [], [], []
+    for k in range(900):
         bad = k % 3 == 0
-        texts.append("\n".join({f"w{r.randrange(300)}" for _ in range(20)} | ({r.choice(toxicity.SEEDS["insult"])} if bad else set())))
+        sort = (k // 3) % 3
+        texts.append("\n".join({f"w{r.randrange(300)}x" for _ in range(20)} | (set(sorts[sort]) if bad else set())))
         y.append(float(bad))
-    chain = toxicity.fit_chain(toxicity.Texts(texts), np.array(y), list(range(600)))
-    n = len(chain.vocabulary)
-    assert chain.weights[-1][n] > 0  # the first link's probability speaks for the last
-    assert toxicity.Scorer(chain)("You Moron w1 w2")[-1] > 0.5 > toxicity.Scorer(chain)("w1 w2 w3")[-1]
+        own.append(sort if bad else -1)
+    seen = toxicity.Texts(texts)
+    words = toxicity.select_words(seen, np.array(y))
+    x = np.array([[w in s for w in words] for s in seen], dtype=np.float32)
+    kind = toxicity.kinds_of(x, np.array(y))
+    assert len(set(zip(own, kind.tolist()))) == 4 and set(kind.tolist()) == {-1, 0, 1, 2}
+    chain = toxicity.fit_chain(seen, np.array(y), list(range(900)))
+    assert (chain.weights[-1][len(chain.vocabulary) : -1] > 0).all()
+    assert toxicity.Scorer(chain)("Red rose")[-1] > 0.5 > toxicity.Scorer(chain)("w1x w2x w3x")[-1]
 
 
 def test_quality(spark, tricky):
@@ -320,6 +366,10 @@ def test_quality(spark, tricky):
     assert ((got.score >= 0.7).astype(int) == got.predicted).all()
     odd = quality_fm.score(tricky, machine).collect()
     assert len(odd) == tricky.count() and all(0 <= r.score <= 1 for r in odd)
+    # What held-out rows are marked as changes no score.
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r.doc_id: r.score for r in quality_fm.score(docs, quality_fm.fit_on(docs, turned)).collect()}
+    assert all(again[r.doc_id] == r.score for r in got.itertuples())
     none = quality_fm.fit_on(docs, labels.limit(0))
     assert quality_fm.score(docs, none).where("score <> 0.5").count() == 0
 

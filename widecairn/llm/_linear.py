@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._frames import column, text_or_empty
+
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -53,12 +55,12 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], most: int,
     Only the chosen ids (bounded by ``most``) travel to the tasks that read the texts.  Ids
     that are null, or labelled more than once, are left out.
     """
-    own = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(c) for c in columns]).where("_id is not null")
+    own = labels.select(column(id_col).alias("_id"), *[column(c).cast("int").alias(c) for c in columns]).where("_id is not null")
     for c in columns:
         own = own.where(F.col(c).isNotNull())
     if where is not None:
         own = own.where(where(F.col("_id")))
     chosen = own.orderBy(F.xxhash64("_id"), "_id").limit(most)
     once = chosen.groupBy("_id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in columns]).where("_n = 1").drop("_n")
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    texts = docs.select(column(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     return texts.join(F.broadcast(once), "_id")

@@ -10,6 +10,9 @@ source and id are no features.
 
 The fit uses at most ``TRAIN_ROWS`` labelled texts.  Null text counts as empty; an empty
 text has statistics of 0 and is scored by them.  Without labelled texts scores are 0.5.
+Each row, repeated or not, has its score, rows with a null id too (never held out); labels
+that are null, or of an id that is labelled twice, teach nothing; an empty table gives no
+rows; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import map_batches, text_or_empty
+from ._frames import column, field, map_batches, text_or_empty
 from ._linear import labelled, sigmoid
 from ._words import WordHashes
 
@@ -127,7 +130,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """held_out, score and predicted for every whole text, one row per row; other columns are ignored."""
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int"
+    schema = f"{field(df, id_col)}, held_out boolean, score double, predicted int"
 
     def run(batches):
         cache = WordHashes()
@@ -136,7 +139,7 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
             for text in b["_text"]:
                 words = text.split()
                 out.append(float(sigmoid(machine.raw(*machine.numbers(word_bins(words, cache), statistics(text, words)))[0])))
-            yield {id_col: b[id_col], "held_out": b["_held"], "score": out, "predicted": [int(p >= least) for p in out]}
+            yield {id_col: b["_id"], "held_out": b["_held"], "score": out, "predicted": [int(p >= least) for p in out]}
 
-    held = ~in_training(F.col(id_col)) & F.col(id_col).isNotNull()
-    return map_batches(df.select(F.col(id_col), held.alias("_held"), text_or_empty(text_col).alias("_text")), run, schema)
+    held = ~in_training(column(id_col)) & column(id_col).isNotNull()
+    return map_batches(df.select(column(id_col).alias("_id"), held.alias("_held"), text_or_empty(text_col).alias("_text")), run, schema)

@@ -14,7 +14,8 @@ character, so a text falls apart before each run, and also where a mark meets
 another character if no piece has both; the parts are encoded alone and kept in a
 bounded cache.
 
-Null text counts as empty; an empty text has no ids and decodes to an empty text.
+Null text counts as empty; an empty text has no ids and decodes to an empty text.  Rows
+with a null id are encoded like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from collections.abc import Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._frames import map_batches, text_or_empty
+from ._frames import column, field, map_batches, text_or_empty
 
 SPACE = "▁"
 #: Marks, symbols and controls, as the inside of a regular expression's set.
@@ -340,7 +340,7 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     and the digests ids_sha256 and decoded_sha256; without ``with_output`` only the counts
     and digests.  One row per row, repeated or not; other columns of any name are ignored.
     """
-    names = f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_output
+    names = f"{field(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_output
 
     def run(batches):
         enc, dec = coder(model)
@@ -356,6 +356,6 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
                 if with_output:
                     out["ids"].append([i for p in parts for i in p[2]])
                     out["text"].append(text)
-            yield {id_col: b[id_col], "n_tokens": out["n"], "ids_sha256": out["i"], "decoded_sha256": out["d"], "ids": out["ids"], "decoded": out["text"]}
+            yield {id_col: b["_id"], "n_tokens": out["n"], "ids_sha256": out["i"], "decoded_sha256": out["d"], "ids": out["ids"], "decoded": out["text"]}
 
-    return map_batches(df.select(F.col(id_col), text_or_empty(text_col).alias("_text")), run, names)
+    return map_batches(df.select(column(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), run, names)
