@@ -30,15 +30,18 @@ equal rows lose the same.  Other columns, of any name, are ignored.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 from math import ceil
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
 from ._frames import Scratch, column, field, long_id, map_batches, quoted, stored, text_or_empty
 from ._linkage import linked_sets
+from ._packed import pack, pack_sorted, part_bounds, unpack, unpack_sorted
 from ._words import MinHasher, WordHashes, band_keys, mix64, shingle_hashes
 
 THRESHOLD, RECALL, MOST_BANDS = 0.8, 0.999, 8
@@ -195,39 +198,140 @@ def _places(texts: list[str], words: list[str], doc, start, size, count, plain)
     return begin, end
 
 
-#: Words of texts that are looked at together.
-WORDS_TOGETHER = 40_000
+#: Words of texts that are looked at together, and windows of a chunk, about.
+WORDS_TOGETHER, CHUNK_WINDOWS = 40_000, 100_000
 
+#: Lines (``keys`` not null), and chunks of windows (``chunk`` not null): the ids and row hashes of some
+#: texts, and of their windows the keys, ascending, the text's place among the chunk's, start and size.
+UNITS = "id long, row long, key long, start int, size int, words int, keys array<long>, chunk long, ids binary, rows binary, windows binary, texts binary, starts binary, sizes binary"
+_LINE, _CHUNK = ("id", "row", "key", "start", "size", "words", "keys"), ("chunk", "ids", "rows", "windows", "texts", "starts", "sizes")
 
-def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Lines (``keys`` not null) and windows: id, row, key, start, size, words, keys."""
 
+def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
         cache, hasher = WordHashes(), MinHasher(bands * rows)
-
-        def emit(ids, row, texts):
+        first, made = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[np.ndarray, ...]] = []  # ids, rows, and the windows' text, start, size, key
+
+        def lines(u, ids, row):
+            n = len(u.doc)
+            if n:
+                own = {"id": ids[u.doc], "row": row[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
+                yield {**own, **dict.fromkeys(_CHUNK, [None] * n)}
+
+        def chunk():
+            ids, row = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            before = np.cumsum([0, *(len(x[0]) for x in held)])
+            text = np.concatenate([x[2] + b for x, b in zip(held, before)])
+            start, size = (np.concatenate([x[k] for x in held]) for k in (3, 4))
+            key = np.concatenate([x[5] for x in held]).view(np.uint64)
+            order = np.lexsort((text, key))
+            packed = (first + made, pack(ids), pack(row), pack_sorted(key[order]), *(pack(x[order].astype(np.uint32)) for x in (text, start, size)))
+            return {**dict.fromkeys(_LINE, [None]), **{c: [x] for c, x in zip(_CHUNK, packed)}}
+
+        def take(ids, row, texts):
             u = Units(texts, cache)
             ids, row = np.array(ids, dtype=np.int64), np.array(row, dtype=np.int64)
-            if len(u.doc):
-                yield {"id": ids[u.doc], "row": row[u.doc], "key": u.keys, "start": u.start, "size": u.size, "words": u.count, "keys": list(u.band_keys(hasher, rows))}
             if len(u.window_doc):
-                none = [None] * len(u.window_doc)
-                yield {"id": ids[u.window_doc], "row": row[u.window_doc], "key": u.window_keys, "start": u.window_start, "size": u.window_size, "words": none, "keys": none}
+                held.append((ids, row, u.window_doc, u.window_start, u.window_size, u.window_keys))
+            yield from lines(u, ids, row)
 
         for b in batches:
-            ids, row, texts, held = [], [], [], 0
+            ids, row, texts, words = [], [], [], 0
             for i, r, t in zip(b["id"], b["row"], b["_text"]):
                 ids.append(i)
                 row.append(r)
                 texts.append(t)
-                held += len(t) // 6
-                if held >= WORDS_TOGETHER:
-                    yield from emit(ids, row, texts)
-                    ids, row, texts, held = [], [], [], 0
+                words += len(t) // 6
+                if words >= WORDS_TOGETHER:
+                    yield from take(ids, row, texts)
+                    ids, row, texts, words = [], [], [], 0
             if ids:
-                yield from emit(ids, row, texts)
+                yield from take(ids, row, texts)
+            if sum(len(x[2]) for x in held) >= CHUNK_WINDOWS:
+                yield chunk()
+                held, made = [], made + 1
+        if held:
+            yield chunk()
+
+    return map_batches(docs, run, UNITS)
+
 
-    return map_batches(docs, run, "id long, row long, key long, start int, size int, words int, keys array<long>")
+def _repeated_windows(units: DataFrame, parts: int) -> DataFrame:
+    """(id, row, spans) of the rows with windows that a document with a smaller id holds too.
+
+    Each chunk sends its distinct keys, with the smallest and the largest id that it has of
+    each, to the parts of the range of keys; a part finds the smallest id of all and answers
+    each chunk with the keys that have to go.  A key is one entry of a chunk however often it
+    occurs there, so a very common passage weighs no more than others.
+    """
+
+    def ask(batches):
+        for b in batches:
+            for number, ids, windows, texts in zip(b["chunk"], b["ids"], b["windows"], b["texts"]):
+                keys, own = unpack_sorted(windows), unpack(ids, np.int64)[unpack(texts, np.uint32)]
+                keys, at = np.unique(keys, return_index=True)
+                lo, hi = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
+                ends = part_bounds(keys, parts)
+                some = [(k, i, j) for k, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+                yield {
+                    "chunk": [number] * len(some),
+                    "part": [k for k, _, _ in some],
+                    "keys": [pack_sorted(keys[i:j]) for _, i, j in some],
+                    "lo": [pack(lo[i:j]) for _, i, j in some],
+                    "more": [pack(hi[i:j] - lo[i:j]) for _, i, j in some],
+                }
+
+    def answer(batches):
+        rows = (r for b in batches for r in zip(b["part"], b["chunk"], b["keys"], b["lo"], b["more"]))
+        for _, some in groupby(rows, key=lambda r: r[0]):
+            chunks, keys, lo, hi = [], [], [], []
+            for _, number, k, x, y in some:
+                chunks.append(number)
+                keys.append(unpack_sorted(k))
+                lo.append(unpack(x, np.int64))
+                hi.append(lo[-1] + unpack(y, np.int64))
+            all_, at = np.unique(np.concatenate(keys), return_inverse=True)
+            least = np.full(len(all_), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, np.concatenate(lo))
+            ends = np.cumsum([0, *map(len, keys)])
+            out: dict[str, list] = {c: [] for c in ("chunk", "keys", "keeper")}
+            for n, number in enumerate(chunks):
+                keeper = least[at[ends[n] : ends[n + 1]]]
+                gone = hi[n] > keeper
+                if gone.any():
+                    for c, x in (("chunk", number), ("keys", pack(keys[n][gone])), ("keeper", pack(keeper[gone]))):
+                        out[c].append(x)
+            yield out
+
+    def spans(batches):
+        for b in batches:
+            for ids, row, windows, texts, starts, sizes, answers in zip(*(b[c] for c in ("ids", "rows", "windows", "texts", "starts", "sizes", "answers"))):
+                ids, row, keys = unpack(ids, np.int64), unpack(row, np.int64), unpack_sorted(windows)
+                gone = np.concatenate([unpack(a["keys"], np.uint64) for a in answers])
+                keeper = np.concatenate([unpack(a["keeper"], np.int64) for a in answers])
+                order = np.argsort(gone)
+                gone, keeper = gone[order], keeper[order]
+                at = np.minimum(np.searchsorted(gone, keys), len(gone) - 1)
+                text = unpack(texts, np.uint32)
+                mine = np.flatnonzero((gone[at] == keys) & (ids[text] > keeper[at]))
+                mine = mine[np.argsort(text[mine], kind="stable")]
+                found, first = np.unique(text[mine], return_index=True)
+                start, size, keeper = (x.astype(np.int64) for x in (unpack(starts, np.uint32)[mine], unpack(sizes, np.uint32)[mine], keeper[at][mine]))
+                own = [[{"start": a, "size": s, "short": False, "keeper": k} for a, s, k in zip(*(x[i:j].tolist() for x in (start, size, keeper)))] for i, j in zip(first, [*first[1:], len(mine)])]
+                for i in range(0, len(own), 200):
+                    t = found[i : i + 200]
+                    yield {"id": ids[t], "row": row[t], "spans": own[i : i + 200]}
+
+    chunks = units.where("chunk is not null").select(*_CHUNK)
+    asked = map_batches(chunks.select("chunk", "ids", "windows", "texts"), ask, "chunk long, part int, keys binary, lo binary, more binary")
+    found = map_batches(asked.repartition(parts, "part").sortWithinPartitions("part"), answer, "chunk long, keys binary, keeper binary")
+    answers = found.groupBy("chunk").agg(F.collect_list(F.struct("keys", "keeper")).alias("answers"))
+    return map_batches(chunks.join(answers.hint("merge"), "chunk"), spans, f"id long, row long, spans {SPANS}")
+
+
+#: Start and size of a span in code points, whether it is a short line, and who keeps it.
+SPANS = "array<struct<start: int, size: int, short: boolean, keeper: long>>"
 
 
 def _clusters(docs: DataFrame, units: DataFrame, bands: int, rows: int, scratch: Scratch) -> DataFrame:
@@ -300,10 +404,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         clusters = _clusters(docs.where("id is not null"), units, bands, rows, scratch)
         short = F.col("words") < removed_words
         lines = units.where("keys is not null").select("id", "row", "key", "start", "size", short.alias("short")).join(clusters, "key").where("id > keeper").select("id", "row", "start", "size", "short", "keeper")
-        own = units.where("keys is null").select("key", "id", "row", "start", "size")
-        common = own.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("key", "keeper")
-        windows = own.join(common, "key").where("id > keeper").select("id", "row", "start", "size", F.lit(False).alias("short"), "keeper")
-        spans = lines.unionByName(windows).groupBy("id", "row").agg(F.collect_set(F.struct("start", "size", "short", "keeper")).alias("spans"))
+        windows = _repeated_windows(units, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+                # Sets, so that equal rows, however many, have one list of their lines and one of their windows.
+        lines = lines.groupBy("id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "size", "short", "keeper"))).alias("spans"))
+        spans = lines.unionByName(windows).groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
         def run(batches):
             for b in batches:
