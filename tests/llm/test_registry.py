@@ -14,10 +14,10 @@ def test_names():
     assert len(names) == 11
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op2_jaccard_join", "op9_hnsw"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_jaccard_join", "op7_lm_score", "op9_hnsw"])
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(__spark_entry__.oracle_sql()[name])
     df = __spark_entry__.queries()[name](spark, SF)

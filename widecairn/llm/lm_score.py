@@ -5,38 +5,43 @@ the whole corpus: a background model from all texts and a target model from the
 marked as target.  A text's score is the mean, over its tokens, of the target model's
 loss less the background model's: low scores are like the target.
 
-Vocabulary: every word (lower-cased, split at white space), however rare; one unknown token
-has only its added count.  Text ends are a token too, so an empty text has one token, its end.
+Vocabulary: every word (lower-cased, split at white space), however rare, the end of a text,
+which is a token too, so that an empty text has one, and an unknown token that has only
+its added count.
+
+A token's probability is BIGRAM times the share of its bigram among those of the word
+before, and (1 - BIGRAM) times the share of the word among all, with ADDED to its count.
+Each text is scored without its own counts in a model that it was counted in.
 
 Counts: words and bigrams are counted exactly, by 64-bit hashes.  Texts are taken in chunks
 of about ``CHUNK`` tokens.  A chunk's distinct words and bigrams go, with their counts, to
 the parts of the range of hashes; a part adds up the counts of all chunks and answers each
 chunk with the sums of what it asked for.  Within a chunk a common bigram is one entry, so
-no key is hot.  No task holds more than a chunk or a part, and the driver only totals.
+no key is hot.  No task holds more than a chunk (or one text, if that is longer) or a part,
+and the driver only totals.
 
 A row is target if its id is marked by any label row; null ids never are.  Repeated rows
-count and are scored each.
+count and are scored each, so a text that occurs twice is scored with its other copy's
+counts.  Null text counts as empty; an empty table gives no rows; other columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import map_batches, stored, text_or_empty
+from ._frames import column, field, map_batches, stored, text_or_empty
+from ._packed import pack, part_bounds, unpack
 from ._words import mix64, words_of
 
-#: A word is in the vocabulary if it makes up one of so many tokens: no word is too rare.
-VOCABULARY = math.inf
 CHUNK = 1 << 20
 #: Numbers of the unknown token and of text ends in every chunk.
 UNKNOWN, END = 0, 1
@@ -95,17 +100,6 @@ class Numbers(dict):
         return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self), dtype=np.uint64, count=len(self))
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Compressed: the first bytes of all numbers, then the second and so on."""
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
-
-
-def unpack(raw: bytes, kind: type) -> np.ndarray:
-    plain = pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _own(x: np.ndarray) -> np.ndarray:
     """How often each value occurs in the array, at its places."""
     _, at, n = np.unique(x, return_inverse=True, return_counts=True)
@@ -136,7 +130,7 @@ class Chunk:
 
     def bounds(self, parts: int) -> list[int]:
         """Where each part's keys begin, and the end."""
-        return [0, *np.searchsorted(self.keys, np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)).tolist(), len(self.keys)]
+        return part_bounds(self.keys, parts)
 
     def losses(self, sums: list[np.ndarray], target: np.ndarray, total: list[int], size: int) -> np.ndarray:
         """Mean losses in nats by token of the background and target models (rows), without each text's own counts."""
@@ -181,8 +175,8 @@ def _chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield emit()
 
-    kind = dict(df.dtypes)[id_col]
-    return map_batches(df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), run, f"chunk long, ids array<{kind}>, sizes array<long>, tokens binary, hashes binary")
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_batches(df.select(column(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), run, f"chunk long, ids array<{kind}>, sizes array<long>, tokens binary, hashes binary")
 
 
 def _marks(chunks: DataFrame, target: DataFrame) -> DataFrame:
@@ -206,8 +200,6 @@ class Models:
         self.texts, self.chunks, self.marks, self.size = texts, chunks, marks, size
         counted = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0]
         self.total = [counted or 0, marks.agg(F.sum("size")).head()[0] or 0]
-        #: What is taken off each bigram's count: nothing, counts are exact.
-        self.noise = np.zeros(2)
 
 
 def _distinct_words(chunks: DataFrame, parts: int) -> int:
@@ -280,9 +272,9 @@ def score(df: DataFrame, target: DataFrame, words: Words, models: Models, id_col
     """n_tokens, loss_background, loss_target and their difference, score, of every whole text that the models were counted from."""
     if not df.sameSemantics(models.texts):
         raise ValueError("score() takes the texts that fit() counted")
-    kind, parts = dict(df.dtypes)[id_col], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total, size = models.total, models.size
-    schema = f"{id_col} {kind}, n_tokens long, loss_background double, loss_target double, score double"
+    schema = f"{field(df, id_col)}, n_tokens long, loss_background double, loss_target double, score double"
 
     def run(batches):
         for b in batches:
