@@ -208,6 +208,37 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.similarity_classes(df.limit(0)).count() == 0
 
 
+def test_families_of_near_copies(spark, monkeypatch):
+    """Tight and loose groups around several texts, with strangers in their buckets: all links against brute force, and few rows sent."""
+    from widecairn.llm import _linkage
+
+    monkeypatch.setattr(_linkage, "BLOCK_SETS", 32)
+    monkeypatch.setattr(_linkage, "LARGE", 8)
+    sent = []
+    monkeypatch.setattr(_linkage.Scratch, "stored", lambda self, df, name, f=_linkage.Scratch.stored: sent.append((name, f(self, df, name))) or sent[-1][1])
+    r = random.Random(15)
+    rows = []
+    for group, (edits, n) in enumerate((((0, 1, 1, 2), 200), ((3, 5, 7, 9), 90), ((1, 12), 60))):
+        base = [f"g{group}w{r.randrange(10**6)}" for _ in range(160)]
+        for k in range(n):
+            w = list(base)
+            for _ in range(r.choice(edits)):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            rows.append((1000 * group + k, " ".join(w)))
+    want = brute_classes(rows)
+    got = jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.class_id, x.n_links) for x in got} == want
+    assert [n for n, _ in sent].count("families") == 1
+
+
+def test_tight_groups_are_not_compared(spark):
+    """20,000 near copies of one text: every pair is linked, and no set is sent more than a few times."""
+    base = " ".join(f"w{k}" for k in range(300))
+    df = spark.range(20_000).selectExpr("id AS doc_id", f"concat('x', id, ' ', '{base}') AS text")
+    got = jaccard_join.similarity_classes(df).groupBy("class_id", "n_links").count().collect()
+    assert [tuple(r) for r in got] == [(0, 19_999, 20_000)]
+
+
 def test_blocks_of_large_buckets(spark, monkeypatch):
     from widecairn.llm import _linkage
 
