@@ -1,7 +1,16 @@
 """A corpus pipeline: five stages from documents to token counts and digests.
 
 Each stage is a function of (spark, docs, sf_dir), where ``docs`` are the documents that
-the stage before left and ``sf_dir`` is the folder of the tables.
+the stage before left and ``sf_dir`` is the folder of the tables.  All but the last return
+the columns of ``docs``, in their order.
+
+Null text counts as empty: it isn't toxic, is no copy of any other, holds no personal data
+and has no tokens; it stays null up to the last stage.  Rows with a null id stay.  Of rows
+with one id and equal words one stays; of an id's different texts none goes for the other's
+sake, but all go if one of them is a copy of a smaller id's.  Ties go to the smaller id.
+Null sources are a source of their own.  Empty tables give no rows; without labels no text
+is toxic.  Columns of any further name pass through all stages but the last, which returns
+doc_id, n_tokens, ids_sha256 and decoded_sha256.
 """
 
 from __future__ import annotations
@@ -9,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from widecairn.llm import jaccard_join, mixing, pii, sentencepiece_bpe, toxicity
-from widecairn.llm._frames import stored
+from widecairn.llm._frames import discard, stored
 from widecairn.llm.queries import tokenizer_bytes
 
 #: The model-based stages have no SQL form.
 ORACLE_SQL = None
 
+#: The column that holds a row's place in the mixture between numbering and writing; no document has it.
+PLACE = "_place_in_mixture"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject."""
@@ -34,7 +46,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files in the order of a mixture by the square root of the sources' sizes."""
-    return mixing.written_order(mixing.mix(docs), docs.columns)
+    return mixing.written_order(mixing.mix(docs, place_col=PLACE), docs.columns, PLACE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +64,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+    """All stages, each on the written result of the one before, which goes once the next one's is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        try:
+            docs = stored(stage(spark, docs, sf_dir), "stage")
+        finally:
+            if written is not None:
+                discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
