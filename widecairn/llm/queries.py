@@ -30,18 +30,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, by five-word shingles with a Jaccard similarity of at least 0.8."""
     from .jaccard_join import similarity_classes
 
     return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that an earlier one holds too, as a similar line or within the same run of words."""
     from .substring_dedup import repeated_spans
 
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the kinds of toxicity and of the mark, and the decision, of every document; learnt from labels.toxic."""
     from .toxicity import fit_on, score
 
     docs = _table(spark, sf_dir, "documents")
@@ -49,6 +52,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learnt from labels.quality of rows that are not held out."""
     from .quality_fm import fit_on, score
 
     docs = _table(spark, sf_dir, "documents")
@@ -56,6 +60,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
     from .fingerprint import edited_pairs
 
     return edited_pairs(_table(spark, sf_dir, "documents"))
@@ -73,18 +78,21 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document; base spans are counted and digested apart."""
     from .pii import find_pii
 
     return find_pii(_table(spark, sf_dir, "documents"), with_output=False)
 
 
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100, found in graphs of all vectors."""
     from .hnsw import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids, and digests of the ids and of the decoded text, of every document."""
     from .sentencepiece_bpe import encode_decode
 
     return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_bytes(), with_output=False)
