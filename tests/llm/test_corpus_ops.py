@@ -208,6 +208,48 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.similarity_classes(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated rows go, rows without an id or words stay, and so do different texts of the kept id."""
+    t, u = "a text of some seven words", "quite another text under the same id"
+    rows = [(1, t), (1, t), (1, f" {t.upper()} "), (1, u), (2, t), (None, t), (None, t), (3, ""), (3, ""), (4, None), (5, "only here")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _id int")
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, " ".join((r.text or "").lower().split())) for r in kept.collect())
+    assert got == Counter({(1, t): 1, (1, u): 1, (None, t): 2, (3, ""): 1, (4, ""): 1, (5, "only here"): 1})
+
+
+def test_any_column_names_but_integer_ids(spark):
+    rows = [(k, f"text {k % 3} of no great length but some", "s") for k in range(9)]
+    df = spark.createDataFrame(rows, "`doc id` long, `a.text` string, `so urce` string")
+    assert jaccard_join.similarity_classes(df, "doc id", "a.text").columns[0] == "doc id"
+    assert substring_dedup.repeated_spans(df, "doc id", "a.text").count() == 9
+    assert mixing.mix(df, None, "so urce", "doc id").count() == 9
+    target = df.select("doc id").limit(3)
+    assert lm_score.score(df, target, *lm_score.fit(df, target, "doc id", "a.text"), "doc id", "a.text").columns[0] == "doc id"
+    text_ids = df.withColumn("doc id", F.lit("x"))
+    for f in (jaccard_join.similarity_classes, substring_dedup.repeated_spans):
+        with pytest.raises(TypeError):
+            f(text_ids, "doc id", "a.text")
+
+
+def test_nothing_is_left_behind(spark, tmp_path, monkeypatch):
+    """An operator's own tables are deleted when it ends and when it fails."""
+    from pathlib import Path
+
+    from widecairn.llm import _frames
+
+    monkeypatch.setattr(_frames, "shared_dir", lambda spark: str(tmp_path))
+    df = spark.createDataFrame([(k, f"text {k % 3} of no great length but some") for k in range(9)], "doc_id long, text string")
+    jaccard_join.similarity_classes(df).count()
+    assert {p.name.split("-")[0] for p in Path(tmp_path, "widecairn").iterdir()} <= {"classes", "code"}
+    with pytest.raises(RuntimeError):
+        with _frames.Scratch() as scratch:
+            scratch.stored(df, "failing")
+            raise RuntimeError
+    assert not [p for p in Path(tmp_path, "widecairn").iterdir() if p.name.startswith("failing")]
+
+
 def test_families_of_near_copies(spark, monkeypatch):
     """Tight and loose groups around several texts, with strangers in their buckets: all links against brute force, and few rows sent."""
     from widecairn.llm import _linkage
