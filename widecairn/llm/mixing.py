@@ -20,7 +20,7 @@ buckets, and groups along the source; rows are numbered within their bucket.
 
 A null source is a source of its own.  Ties and repeated rows get numbers in hash order
 of the row's id, then in any order; rows with a null id fall into buckets by a hash of
-all they hold.
+their columns of fixed size.
 Texts of any length and other columns only pass.  An empty table gives an empty result.
 """
 
@@ -32,6 +32,7 @@ from math import gcd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._frames import column
 
@@ -90,8 +91,9 @@ def mix(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_c
     spark = df.sparkSession
     source = F.coalesce(F.concat(F.lit("="), column(source_col).cast("string")), F.lit(""))
     passed = [c for c in df.columns if c != place_col] if keep else []
-    # What rows without an id are spread by.
-    anything = F.xxhash64(*[column(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()])
+    # What rows without an id are spread by: numbers, dates and the like, which are read at little cost.
+    fixed = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.DatetimeType, T.BooleanType))]
+    anything = F.xxhash64(column(source_col), *map(column, fixed))
     tagged = df.select(column(id_col).alias("_id"), source.alias("_s"), F.when(column(id_col).isNull(), anything).alias("_any"), *([F.struct(*map(column, passed)).alias("_row")] if keep else []))
     counts = {(r._s[1:] if r._s else None): r.n for r in tagged.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts, key=lambda s: (s is not None, s or ""))
