@@ -350,3 +350,43 @@ def test_writes_through_servers_share_commits(spark, tmp_path):
     e.execute("DROP TABLE g")
     assert e.submit("g", [{"id": 1}], "http").code == 2
     e.close()
+
+
+def test_repeated_point_reads(spark, tmp_path):
+    import time
+
+    from widecairn.config import Config
+    from widecairn.session import Engine
+
+    e = Engine(spark, str(tmp_path), Config(cached_rows=2))
+    e.execute("CREATE TABLE p (id BIGINT PRIMARY KEY, v STRING)")
+    e.write("p", [{"id": k, "v": f"v{k}"} for k in range(5)])
+    assert e.get("p", id=1) == {"id": 1, "v": "v1"} and e.get("p", id=9) is None
+    took = []
+    for _ in range(20):
+        began = time.perf_counter()
+        assert e.get("p", id=1) == {"id": 1, "v": "v1"}
+        took.append(time.perf_counter() - began)
+    assert e.metrics()["row_cache_hits_total"] == 20 and sorted(took)[10] < 0.1
+    e.get("p", id=1)["v"] = "changed by the caller"
+    assert e.get("p", id=1)["v"] == "v1"
+    e.execute("UPDATE p SET v = 'new' WHERE id = 1")
+    assert e.get("p", id=1)["v"] == "new"
+    for k in range(4):
+        e.get("p", id=k)
+    assert e.metrics()["row_cache_entries"] == 2
+
+
+def test_memory_table_is_read_from_memory(spark, tmp_path):
+    from widecairn.session import Engine
+
+    e = Engine(spark, str(tmp_path))
+    e.execute("CREATE TABLE m (id BIGINT PRIMARY KEY, v BIGINT) ENGINE=memory")
+    e.write("m", [{"id": k, "v": k} for k in range(50)])
+    assert e.query("SELECT SUM(v) AS s FROM m").head().s == 1225
+    assert "InMemoryTableScan" in e.explain("SELECT v FROM m WHERE id > 3")
+    e.execute("UPDATE m SET v = 0 WHERE id > 0")
+    assert e.query("SELECT SUM(v) AS s FROM m").head().s == 0
+    e.add_column("m", ColumnDef("w", "STRING"))
+    assert e.query("SELECT COUNT(w) AS n FROM m").head().n == 0
+    e.close()

@@ -25,6 +25,8 @@ class Config:
     slow_query_bytes: int = 4096
     #: Rows written within so many milliseconds share a commit; 0: every write has its own.
     group_commit_ms: int = 20
+    #: Rows that point reads keep.
+    cached_rows: int = 10_000
     scheduler: bool = True
     compact_seconds: float = 10.0
     clean_seconds: float = 30.0
@@ -38,8 +40,8 @@ class Config:
                 split_address(getattr(self, n))
         if self.slow_query_ms < 0 or self.slow_query_entries < 0 or self.slow_query_bytes < 1 or self.pg_connections < 1:
             raise ValueError("limits are positive")
-        if self.group_commit_ms < 0 or self.compact_seconds < 0 or self.clean_seconds < 0:
-            raise ValueError("intervals are not negative")
+        if self.group_commit_ms < 0 or self.cached_rows < 0 or self.compact_seconds < 0 or self.clean_seconds < 0:
+            raise ValueError("intervals and sizes are not negative")
 
     def address(self, server: str) -> tuple[str, int] | None:
         """Host and port of the http, tcp or pg server; None if it is left out."""

@@ -8,7 +8,7 @@ import threading
 import time
 import uuid
 from bisect import bisect_left
-from collections import Counter, deque
+from collections import Counter, OrderedDict, deque
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -84,6 +84,30 @@ class Histogram:
             return out | {f'{name}_bucket{{le="+Inf"}}': sums[-1], f"{name}_count": sums[-1], f"{name}_sum": self.total}
 
 
+class RowCache:
+    """The rows that were read last, so many at most."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.lock = most, OrderedDict(), threading.Lock()
+        self.hits = self.misses = 0
+
+    def get(self, key):
+        with self.lock:
+            if key in self.held:
+                self.held.move_to_end(key)
+                self.hits += 1
+                return self.held[key]
+            self.misses += 1
+            return None
+
+    def put(self, key, value) -> None:
+        with self.lock:
+            self.held[key] = value
+            self.held.move_to_end(key)
+            while len(self.held) > self.most:
+                self.held.popitem(last=False)
+
+
 class Engine:
     """``root`` is a folder in any store that Spark reaches; without one, tables last as long as the session."""
 
@@ -97,6 +121,7 @@ class Engine:
         self.counts: Counter = Counter()
         self.seconds: Counter = Counter()
         self.slow: deque = deque(maxlen=self.config.slow_query_entries)
+        self.rows = RowCache(self.config.cached_rows)
         self.times = {k: Histogram() for k in ("query", "write")}
         self.committers: dict[str, GroupCommitter] = {}
         self.lock = threading.RLock()
@@ -138,15 +163,21 @@ class Engine:
                     self.open.pop(name, None)
                 if c := self.committers.pop(name, None):
                     c.close()
+                if isinstance(t, MemoryTable):
+                    t.forget()
                 t.files.delete(t.root)
 
     def add_column(self, table: str, column: ColumnDef) -> None:
         self.catalog.add_column(table, column)
-        self.open.pop(table, None)
+        self._reopen(table)
 
     def drop_column(self, table: str, column: str) -> None:
         self.catalog.drop_column(table, column)
-        self.open.pop(table, None)
+        self._reopen(table)
+
+    def _reopen(self, table: str) -> None:
+        if isinstance(t := self.open.pop(table, None), MemoryTable):
+            t.forget()
 
     def close(self) -> None:
         """Memory tables end with the session, writes that wait are committed."""
@@ -155,6 +186,7 @@ class Engine:
         self.committers.clear()
         for t in self.open.values():
             if isinstance(t, MemoryTable):
+                t.forget()
                 t.files.delete(t.root)
         self.open.clear()
 
@@ -263,11 +295,19 @@ class Engine:
         t = self.table(table)
         if set(key) != set(t.primary_key):
             raise AnalysisError(f"the key of {table} is {', '.join(t.primary_key)}")
+        values = {k: value_for(t.column(k), v) for k, v in key.items()}
+        # A row that was read before is good as long as nothing has been committed since.
+        at = (table, t.root, t.manifest().number, *sorted(values.items())) if isinstance(t, KeyedTable) else None
+        if at is not None and (hit := self.rows.get(at)) is not None:
+            return dict(hit[0]) if hit[0] is not None else None
         df = t.live()
-        for k, v in key.items():
-            df = df.where(F.col(f"`{k}`") == F.lit(value_for(t.column(k), v)))
+        for k, v in values.items():
+            df = df.where(F.col(f"`{k}`") == F.lit(v))
         found = df.limit(1).collect()
-        return found[0].asDict() if found else None
+        out = found[0].asDict() if found else None
+        if at is not None:
+            self.rows.put(at, (out,))
+        return dict(out) if out is not None else None
 
     def explain(self, text: str) -> str:
         """Spark's formatted plan of a SELECT."""
@@ -302,7 +342,7 @@ class Engine:
         out = dict(self.counts) | dict(self.seconds)
         for k, h in self.times.items():
             out |= h.lines(f"{k}_duration_seconds")
-        return out
+        return out | {"row_cache_hits_total": self.rows.hits, "row_cache_misses_total": self.rows.misses, "row_cache_entries": len(self.rows.held)}
 
     def keyed_tables(self, name: str | None = None) -> list[KeyedTable]:
         return [dml.writable(self.table(n)) for n in ([name] if name else self.catalog.names())]

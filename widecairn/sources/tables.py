@@ -22,6 +22,7 @@ import uuid
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -344,10 +345,34 @@ class KeyedTable(Table):
 
 
 class MemoryTable(KeyedTable):
-    """The same table in a folder of the session's: gone with the session.  It lies in the shared folder, so a lost executor loses none of it."""
+    """The same table in a folder of the session's: gone with the session.
+
+    Its rows are read once and kept in the executors' memory, beyond that on their disks,
+    until the next commit.  The files lie in the shared folder, from which rows that a lost
+    executor held are read again.
+    """
 
     kind = "memory"
 
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.kept: tuple[tuple, DataFrame] | None = None
+
+    def live(self, m: Manifest | None = None) -> DataFrame:
+        m = m or self.manifest()
+        at = (m.number, tuple(c.name for c in self.columns))
+        with self.lock:
+            if self.kept is None or self.kept[0] != at:
+                self.forget()
+                self.kept = (at, super().live(m).persist(StorageLevel.MEMORY_AND_DISK))
+            return self.kept[1]
+
+    def forget(self) -> None:
+        """Give the memory back."""
+        if self.kept is not None:
+            self.kept[1].unpersist()
+            self.kept = None
+
 
 def _c(name: str):
     return F.col(f"`{name}`")
