@@ -14,7 +14,7 @@ def test_names():
     assert len(names) == 11
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op2_jaccard_join", "op7_lm_score", "op9_hnsw"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_jaccard_join", "op7_lm_score", "op9_hnsw", "fingerprint_texts", "pii_base_spans"])
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "embeddings", "labels"):

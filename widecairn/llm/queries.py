@@ -77,6 +77,16 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *[F.round(c, 9).alias(c) for c in ("loss_background", "loss_target", "score")])
 
 
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_fingerprint that SQL can express."""
+    return op5_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_pii that SQL can express."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document; base spans are counted and digested apart."""
     from .pii import find_pii
@@ -110,6 +120,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_hnsw": op9_hnsw,
         "op10_sentencepiece": op10_sentencepiece,
+        "fingerprint_texts": fingerprint_texts,
+        "pii_base_spans": pii_base_spans,
     }
 
 
@@ -190,5 +202,40 @@ SELECT doc_id, n_tokens, round(u, 9) AS loss_background, round(v, 9) AS loss_tar
 """
 
 
+#: The texts that are fingerprinted, without the fingerprints.
+EDITED_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+d AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM t)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(nxt, length(t) // 2)) AS edited_sha256 FROM d
+"""
+
+#: The base spans: matches are marked in the text, their places follow from the lengths of what lies between the marks.
+BASE_SQL = r"""
+WITH rules(kind, name) AS (VALUES (0, 'email'), (1, 'ip'), (2, 'card'), (3, 'phone')),
+split AS (
+  SELECT doc_id, kind, name, string_split(CASE kind
+    WHEN 0 THEN regexp_replace(t, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+)', chr(1) || '\1' || chr(2), 'g')
+    WHEN 1 THEN regexp_replace(t, '([0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+))', chr(1) || '\1' || chr(2), 'g')
+    WHEN 2 THEN regexp_replace(t, '([0-9]([\x20-]?[0-9])+)', chr(1) || '\1' || chr(2), 'g')
+    ELSE regexp_replace(t, '(\+[0-9][\x20().0-9-]+[0-9])', chr(1) || '\1' || chr(2), 'g') END, chr(1)) AS parts
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), rules
+), pieces AS (
+  SELECT doc_id, kind, name, unnest(list_transform(range(2, len(parts) + 1), lambda k: {'s': string_split(parts[k], chr(2))[1],
+    'before': list_sum(list_transform(parts[1:k - 1], lambda p: length(p))) - (k - 2)})) AS m FROM split
+), found AS (
+  SELECT doc_id, kind, name, m.s AS s, CAST(m.before AS BIGINT) AS start, CAST(m.before + length(m.s) AS BIGINT) AS stop, regexp_replace(m.s, '[^0-9]', '', 'g') AS digits FROM pieces
+), base AS (
+  SELECT * FROM found WHERE CASE kind WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(s, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN CAST(digits[-k] AS INT) ELSE 2 * CAST(digits[-k] AS INT) - CASE WHEN CAST(digits[-k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END
+)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')) AS base_sha256
+FROM documents d LEFT JOIN base b ON b.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op2_jaccard_join": JACCARD_SQL, "op7_lm_score": LM_SQL, "op9_hnsw": NEAREST_SQL}
+    return {"op1_mixing": MIXING_SQL, "op2_jaccard_join": JACCARD_SQL, "op7_lm_score": LM_SQL, "op9_hnsw": NEAREST_SQL, "fingerprint_texts": EDITED_SQL, "pii_base_spans": BASE_SQL}
