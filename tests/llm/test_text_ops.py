@@ -227,6 +227,17 @@ def test_number_spans_are_all_runs_of_groups():
         assert set(pii.number_spans(t)) == want, repr(t)
 
 
+def test_spelled_at_equals_a_rule():
+    r = random.Random(8)
+    rule = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s))\s?", re.I)
+    for _ in range(5000):
+        t = "".join(r.choice(["at", "AT", "aT", " ", "  ", "\n", "(", ")", "[at]", "{at}", "(at)", "x", "jo"]) for _ in range(r.randint(0, 9)))
+        got = list(pii.spelled_at(t))
+        for m in rule.finditer(t):
+            assert m.span() in got or any(a < m.end() and m.start() < b for a, b in got), repr(t)
+        assert all(re.fullmatch(rule, t[a:b]) or re.fullmatch(r"\s[aA][tT]\s", t[a:b]) for a, b in got), repr(t)
+
+
 def test_free_intervals():
     r = random.Random(6)
     for _ in range(300):

@@ -20,6 +20,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -87,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
 
 # -- proposals ------------------------------------------------------------------------
 
-_at = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s))\s?", re.I).finditer
+_at = re.compile(r"[aA][tT](?=[\s)\]}])").finditer
 _after_at = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I).match
 #: Digits with up to three separators between: a run of groups.
 _run = re.compile(r"[0-9]+(?:[ ().\-/]{1,3}[0-9]+)*").finditer
@@ -106,6 +107,17 @@ def is_hextets(s: str) -> bool:
     return filled == 8 if "::" not in s else 2 <= filled <= 7
 
 
+def spelled_at(text: str) -> Iterator[tuple[int, int]]:
+    """Where each "at" in brackets or between white space begins and ends, one character of white space around it included."""
+    for m in _at(text):
+        a, e = m.span()
+        prev, nxt = text[a - 1 : a], text[e]
+        if prev + nxt in ("()", "[]", "{}"):
+            yield a - 1 - text[a - 2 : a - 1].isspace(), e + 1 + text[e + 1 : e + 2].isspace()
+        elif prev.isspace() and nxt.isspace():
+            yield a - 1, e + 1
+
+
 def number_spans(text: str) -> list[Span]:
     """Every run of neighbouring groups of digits that could be a phone or card number; a group begins fewer of them than it has digits to go."""
     out: list[Span] = []
@@ -130,13 +142,13 @@ def proposals(text: str) -> list[Span]:
     """Candidate spans besides the base ones; they may overlap."""
     out: list[Span] = []
     free = 0
-    for m in _at(text):
-        start = m.start()
+    for before, after in spelled_at(text):
+        start = before
         while start > free and text[start - 1] in _local:
             start -= 1
-        if start < m.start() and (d := _after_at(text, m.end())):
+        if start < before and (d := _after_at(text, after)):
             out.append((start, 0, d.end()))
-            free = m.end()
+            free = after
     if _digit(text):
         out += number_spans(text)
     if ":" in text:
