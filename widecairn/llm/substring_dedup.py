@@ -198,8 +198,10 @@ def _places(texts: list[str], words: list[str], doc, start, size, count, plain)
     return begin, end
 
 
-#: Words of texts that are looked at together, and windows of a chunk, about.
-WORDS_TOGETHER, CHUNK_WINDOWS = 40_000, 100_000
+#: Words of texts that are looked at together.
+WORDS_TOGETHER = 40_000
+#: Fewest and most windows of a chunk, about, and windows for each part that it sends keys to.
+CHUNK_WINDOWS, MOST_CHUNK_WINDOWS, PER_PART = 100_000, 4_000_000, 32
 
 #: Lines (``keys`` not null), and chunks of windows (``chunk`` not null): the ids and row hashes of some
 #: texts, and of their windows the keys, ascending, the text's place among the chunk's, start and size.
@@ -207,7 +209,9 @@ UNITS = "id long, row long, key long, start int, size int, words int, keys array
 _LINE, _CHUNK = ("id", "row", "key", "start", "size", "words", "keys"), ("chunk", "ids", "rows", "windows", "texts", "starts", "sizes")
 
 
-def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def _units(docs: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
+    most = min(max(CHUNK_WINDOWS, PER_PART * parts), MOST_CHUNK_WINDOWS)
+
     def run(batches):
         cache, hasher = WordHashes(), MinHasher(bands * rows)
         first, made = TaskContext.get().partitionId() << 32, 0
@@ -248,7 +252,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     ids, row, texts, words = [], [], [], 0
             if ids:
                 yield from take(ids, row, texts)
-            if sum(len(x[2]) for x in held) >= CHUNK_WINDOWS:
+            if sum(len(x[2]) for x in held) >= most:
                 yield chunk()
                 held, made = [], made + 1
         if held:
@@ -400,11 +404,12 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with Scratch() as scratch:
         docs = _documents(df, id_col, text_col)
         # One pass over the texts; its result is read for counting and for joining back.
-        units = scratch.stored(_units(docs.where("id is not null"), bands, rows), "units")
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        units = scratch.stored(_units(docs.where("id is not null"), bands, rows, parts), "units")
         clusters = _clusters(docs.where("id is not null"), units, bands, rows, scratch)
         short = F.col("words") < removed_words
         lines = units.where("keys is not null").select("id", "row", "key", "start", "size", short.alias("short")).join(clusters, "key").where("id > keeper").select("id", "row", "start", "size", "short", "keeper")
-        windows = _repeated_windows(units, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        windows = _repeated_windows(units, parts)
                 # Sets, so that equal rows, however many, have one list of their lines and one of their windows.
         lines = lines.groupBy("id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "size", "short", "keeper"))).alias("spans"))
         spans = lines.unionByName(windows).groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
