@@ -267,10 +267,15 @@ def test_families_of_near_copies(spark, monkeypatch):
             for _ in range(r.choice(edits)):
                 w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
             rows.append((1000 * group + k, " ".join(w)))
+    rows += rows[5:9] + rows[210:212]  # repeated rows
     want = brute_classes(rows)
     got = jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: (x.class_id, x.n_links) for x in got} == want
     assert [n for n, _ in sent].count("families") == 1
+    # An id with two texts, one in a group and one elsewhere, ties the two together and changes no other links.
+    more = [*rows, (3, "another text that stands alone here"), (2005, rows[220][1])]
+    got = jaccard_join.similarity_classes(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert {x.class_id for x in got if x.doc_id < 300} == {0} and {x.class_id for x in got if 2000 <= x.doc_id or 1000 <= x.doc_id < 1100} <= {1000, *(i for i, (c, _) in want.items() if c == i), min(want[2005][0], want[rows[220][0]][0])}
 
 
 def test_tight_groups_are_not_compared(spark):

@@ -140,27 +140,31 @@ def _families(full: DataFrame, members: DataFrame, threshold: float, tasks: int,
     weight = big.groupBy("rep").agg(F.sum("m").alias("w"))
     pivots = big.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("less"))).alias("p"))
     home = scratch.stored(big.join(pivots, "key").groupBy("rep").agg((-F.max("p").getField("less")).alias("family")), "homes")
+    # A number that stands for several sets, of texts that share an id, has no family.
+    digest = F.xxhash64("shingles")
+    several = members.groupBy("rep").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("rep")
+    home = home.join(several, "rep", "left_anti").join(several.select(F.col("rep").alias("family")), "family", "left_anti")
     # Each set goes to one of the tasks that its family needs, the pivot to all of them, where it comes first.
     spread = home.groupBy("family").agg(F.count("*").alias("f")).where("f > 1").select("family", F.ceil(F.col("f") / BLOCK_SETS).cast("int").alias("parts"))
     own = home.join(spread, "family").select("rep", "family", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("place"))
     first = spread.select(F.col("family").alias("rep"), "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"))
-    met = own.unionByName(first).join(members.drop("copies"), "rep").repartition(tasks, "family", "part").sortWithinPartitions("family", "part", "place", "rep")
+    met = own.unionByName(first).join(members.select("rep", "shingles"), "rep").repartition(tasks, "family", "part").sortWithinPartitions("family", "part", "place", "rep")
     least, core = 2 * threshold - 1, (1 + threshold) / 2
 
     def run(batches: Iterator[dict]):
         at, pivot, last = None, None, None
         for b in batches:
             out: dict[str, list] = {"rep": [], "family": [], "core": []}
-            for rep, family, part, place, keys, shingles in zip(*(b[c] for c in ("rep", "family", "part", "place", "keys", "shingles"))):
+            for rep, family, part, place, shingles in zip(*(b[c] for c in ("rep", "family", "part", "place", "shingles"))):
                 if not place:
                     if (family, part) != at:
-                        at, pivot, last = (family, part), (np.frombuffer(keys, np.int64), np.frombuffer(shingles, np.uint64)), None
+                        at, pivot, last = (family, part), np.frombuffer(shingles, np.uint64), None
                     continue
-                if rep == last or not (np.frombuffer(keys, np.int64) == pivot[0]).any():
-                    continue  # another text of the same id
+                if rep == last:
+                    continue  # a repeated row
                 last, x = rep, np.frombuffer(shingles, np.uint64)
-                shared = len(np.intersect1d(x, pivot[1], assume_unique=True))
-                union = len(x) + len(pivot[1]) - shared
+                shared = len(np.intersect1d(x, pivot, assume_unique=True))
+                union = len(x) + len(pivot) - shared
                 if shared >= least * union:
                     out["rep"].append(rep)
                     out["family"].append(family)
