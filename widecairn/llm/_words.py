@@ -11,7 +11,7 @@ import xxhash
 
 SHINGLE_WORDS = 5
 #: Distinct words whose hashes a worker keeps; past it the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 _MASK = (1 << 64) - 1
 _GOLD = 0x9E3779B97F4A7C15
