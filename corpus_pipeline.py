@@ -24,9 +24,6 @@ from widecairn.llm.queries import tokenizer_bytes
 #: The model-based stages have no SQL form.
 ORACLE_SQL = None
 
-#: The column that holds a row's place in the mixture between numbering and writing; no document has it.
-PLACE = "_place_in_mixture"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject."""
@@ -46,7 +43,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files in the order of a mixture by the square root of the sources' sizes."""
-    return mixing.written_order(mixing.mix(docs, place_col=PLACE), docs.columns, PLACE)
+    return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

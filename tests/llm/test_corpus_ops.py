@@ -105,6 +105,43 @@ def test_mix_odd_tables(spark, docs):
     assert ordered.columns == docs.columns and ordered.count() == docs.count()
 
 
+def shuffles(df):
+    """Shuffles of a plan that has not run."""
+    return len(re.findall(r"Exchange (?:hash|range|Round|Single)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "60"])
+def test_rows_in_the_order_of_the_mixture(spark, docs, monkeypatch, tmp_path, parts):
+    """Row for row the order of mix's positions, and rows of one id or none at places of their source; also with whole rows numbered."""
+    odd = spark.range(700).selectExpr("IF(id % 3 = 0, NULL, id % 50) AS `doc id`", "IF(id % 7 = 0, NULL, concat('s', id % 2)) AS source", "id AS _tie", "repeat('x', CAST(id AS INT)) AS `te.xt`")
+    odd.repartition(3).write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for weights in (None, {"s0": 9, "s1": 1}):
+            want = [r[:-1] for r in sorted(map(tuple, mixing.mix(docs, weights).select(*docs.columns, "_mix.position").collect()), key=lambda r: r[-1])]
+            assert [tuple(r) for r in mixing.in_order(docs, weights).collect()] == want
+            want = sorted(mixing.mix(odd, weights, id_col="doc id").collect(), key=lambda r: r._mix.position)
+            for cuts in (mixing.SENT_CUTS, 0):
+                with monkeypatch.context() as m:
+                    m.setattr(mixing, "SENT_CUTS", cuts)
+                    got = mixing.in_order(odd, weights, id_col="doc id")
+                    assert got.columns == odd.columns
+                    got = got.collect()
+                assert [r.source for r in got] == [r.source for r in want] and sorted(r._tie for r in got) == list(range(700))
+        assert mixing.in_order(docs.limit(0)).count() == 0 and mixing.in_order(docs.limit(1)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_mixing_stage_shuffles_texts_once(spark, docs):
+    import corpus_pipeline as p
+
+    assert shuffles(p.mix_sources(spark, docs, SF)) == 1
+
+
 # -- joins of similar texts --------------------------------------------------------------------
 
 
@@ -642,6 +679,29 @@ def test_odd_vectors(spark):
     assert hnsw.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_copies_go_without_a_shuffle_of_texts(spark, docs):
+    """However small Spark's own limit for broadcasts."""
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert shuffles(jaccard_join.one_of_each(docs.where("doc_id % 2 = 0"))) <= 1  # of the ids that go
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "byte"])
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_rows_without_dropped_ids(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(jaccard_join, "SENT_MASKS", most)
+    r, edge = random.Random(5), {"long": 2**63, "int": 2**31, "byte": 128}[kind]
+    ids = [None, None, -edge, edge - 1, *range(-130 if edge > 128 else -70, -60), -1, 0, 63, 64, 64] + [r.randrange(-100, 100) for _ in range(200)]
+    df = spark.createDataFrame([(k, i) for k, i in enumerate(ids)], f"_own int, `doc id` {kind}")
+    gone = {-edge, 64, -64, *r.sample(range(-100, 100), 60)}
+    got = jaccard_join.without(df, "doc id", spark.createDataFrame([(i,) for i in [*gone, None, 64]], f"`doc id` {kind}"))
+    assert got.schema == df.schema
+    assert sorted(tuple(x)[0] for x in got.collect()) == [k for k, i in enumerate(ids) if i is None or i not in gone]
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 

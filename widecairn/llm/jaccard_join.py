@@ -29,6 +29,8 @@ from ._linkage import linked_sets
 from ._words import MinHasher, WordHashes, band_keys, shingle_set
 
 BANDS, ROWS, THRESHOLD, TOLERANCE = 30, 5, 0.8, 1e-6
+#: Masks of dropped ids that go to every task; more are joined by a shuffle of the rows.
+SENT_MASKS = 1 << 20
 
 
 def _signed(x: int) -> int:
@@ -106,11 +108,25 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
 
 
+def without(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id isn't in the one column of ``dropped``; whole rows aren't shuffled for up to SENT_MASKS masks of 64 ids."""
+    gone = long_id(dropped, id_col).alias("_gone")
+    masks = dropped.where(column(id_col).isNotNull()).select(gone)
+    masks = masks.groupBy(F.shiftright("_gone", 6).alias("_block")).agg(F.expr("bit_or(shiftleft(1L, CAST(_gone & 63 AS INT)))").alias("_mask"))
+    if masks.limit(SENT_MASKS + 1).count() > SENT_MASKS:
+        return df.join(dropped.select(column(id_col).alias("_gone")), column(id_col) == F.col("_gone"), "left_anti")
+    own = long_id(df, id_col)
+    bit = F.expr("shiftright(_mask, CAST(_own & 63 AS INT)) & 1")
+    rows = df.select(F.struct(*map(column, df.columns)).alias("_row"), own.alias("_own"))
+    rows = rows.join(F.broadcast(masks), F.shiftright("_own", 6) == F.col("_block"), "left")
+    return rows.where(F.coalesce(bit, F.lit(0)) == 0).select(*[F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is its class's smallest, rows with one id and equal words once; all rows without an id stay."""
     classes = similarity_classes(df.select(column(id_col), column(text_col)), id_col, text_col)
     own = column(id_col)
-    kept = df.join(classes.where(own != F.col("class_id")).select(own.alias("_dropped")), column(id_col) == F.col("_dropped"), "left_anti")
+    kept = without(df, id_col, classes.where(own != F.col("class_id")).select(own))
     again = classes.where(own == F.col("class_id")).groupBy(own.alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
     if not again.limit(1).count():
         return kept
