@@ -136,6 +136,18 @@ def test_rows_in_the_order_of_the_mixture(spark, docs, monkeypatch, tmp_path, pa
         spark.conf.set("spark.sql.shuffle.partitions", had)
 
 
+def test_partitions_of_the_mixture_are_even(spark):
+    """No two neighbours share a partition."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "concat('s', floor(sqrt(id % 30))) AS source")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        sizes = mixing.in_order(df).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert len(sizes) == 20 and max(r[1] for r in sizes) < 1100
+
+
 def test_mixing_stage_shuffles_texts_once(spark, docs):
     import corpus_pipeline as p
 

@@ -249,7 +249,9 @@ def in_order(df: DataFrame, weights: Mapping[str | None, int] | None = None, sou
     whole = _bucketed(_tagged(df, source_col, id_col, tie, F.struct(*map(column, df.columns)).alias("_row")), schedule, seed)
     whole = whole.join(F.broadcast(widths), "_k").withColumn("_cell", F.expr("_b * _cells div _buckets")).join(F.broadcast(cells), ["_k", "_cell"])
     whole = whole.withColumn("_at", F.expr("array_max(filter(_cuts, c -> struct(c.b, c.h, c.t) <= struct(_b AS b, _h AS h, _tie AS t)))"))
-    moved = whole.select("_row", "_k", "_w", "_b", "_h", "_tie", F.col("_at.part").alias("_part"), F.col("_at.start").alias("_start")).repartitionByRange(parts, "_part")
+    moved = whole.select("_row", "_k", "_w", "_b", "_h", "_tie", F.col("_at.part").alias("_part"), F.col("_at.start").alias("_start"))
+    # Spark looks for bounds of equal shares in a sample; asked for more than there are numbers, it puts one between any two.
+    moved = moved.repartitionByRange(2 * parts, "_part")
     nth = F.row_number().over(Window.partitionBy("_part", "_k").orderBy("_b", "_h", "_tie"))
     placed, slot = _placed(moved.withColumn("_n", F.col("_start") + nth - 1), schedule, block_rows)
     return placed.withColumn("_slot", slot).sortWithinPartitions("_slot", "_n").select(*[F.col("_row")[c].alias(c) for c in df.columns])
